@@ -36,29 +36,24 @@ def cursor_text(timestamp_text: Column, id_: Column) -> Column:
     return F.translate(F.translate(encoded, "+/", "-_"), "=\r\n", "")
 
 
-def number_text(number: Column) -> Column:
-    """A DOUBLE as JavaScript prints it: plain digits from 1e-6 up to 1e21, exponent beyond."""
-    java = number.cast("string")
-    mantissa = F.split_part(java, F.lit("E"), F.lit(1))
-    exponent = F.split_part(java, F.lit("E"), F.lit(2)).try_cast("int")
-    sign = F.when(number < 0, F.lit("-")).otherwise(F.lit(""))
-    # "d.ddd" without sign, point and a fraction of zero: the significant digits.
-    digits = F.regexp_replace(F.regexp_replace(mantissa, r"\.0\z", ""), r"[-.]", "")
-    count = F.length(digits)
-    whole = F.when(count <= exponent + 1, F.rpad(digits, exponent + 1, "0")).otherwise(
-        F.concat(F.substr(digits, F.lit(1), exponent + 1), F.lit("."), F.substr(digits, exponent + 2))
-    )
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
-    scientific = F.concat(
-        F.substr(digits, F.lit(1), F.lit(1)),
-        F.when(count > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise(F.lit("")),
-        F.when(exponent > 0, F.lit("e+")).otherwise(F.lit("e")),
-        exponent.cast("string"),
-    )
-    return (
-        F.when(number == 0, F.lit("0"))
-        .when(exponent.isNull(), F.regexp_replace(java, r"\.0\z", ""))
-        .when(exponent.between(0, 20), F.concat(sign, whole))
-        .when(exponent.between(-6, -1), F.concat(sign, small))
-        .otherwise(F.concat(sign, scientific))
-    )
+def number_text(number: str) -> str:
+    """SQL for a DOUBLE as JavaScript prints it: plain digits from 1e-6 to 1e21, else an exponent."""
+    java = f"CAST({number} AS STRING)"
+    mantissa, exponent = f"split_part({java}, 'E', 1)", f"CAST(split_part({java}, 'E', 2) AS INT)"
+    # The significant digits of "d.ddd": no sign, no point, no fraction of zero.
+    digits = f"translate(regexp_replace({mantissa}, r'\\.0\\z', ''), '-.', '')"
+    sign = f"CASE WHEN {number} < 0 THEN '-' ELSE '' END"
+    return f"""
+      CASE WHEN {number} = 0 THEN '0'
+           WHEN NOT contains({java}, 'E') THEN regexp_replace({java}, r'\\.0\\z', '')
+           WHEN {exponent} BETWEEN 0 AND 20 AND length({digits}) <= {exponent} + 1
+             THEN {sign} || rpad({digits}, {exponent} + 1, '0')
+           WHEN {exponent} BETWEEN 0 AND 20
+             THEN {sign} || left({digits}, {exponent} + 1) || '.'
+                  || substr({digits}, {exponent} + 2)
+           WHEN {exponent} BETWEEN -6 AND -1
+             THEN {sign} || '0.' || repeat('0', -{exponent} - 1) || {digits}
+           ELSE {sign} || left({digits}, 1)
+                || CASE WHEN length({digits}) > 1 THEN '.' || substr({digits}, 2) ELSE '' END
+                || CASE WHEN {exponent} > 0 THEN 'e+' ELSE 'e' END
+                || CAST({exponent} AS STRING) END"""

@@ -25,12 +25,13 @@ def instant(value: datetime) -> Column:
     return F.lit(value.isoformat(sep=" ", timespec="microseconds")).cast("timestamp_ntz")
 
 
-def parse_iso(text: Column) -> Column:
-    """ISO-Z text to a TIMESTAMP_NTZ cut to milliseconds; NULL where the text is not a datetime."""
+def parse_iso(text: str) -> str:
+    """SQL for ISO-Z text to a TIMESTAMP_NTZ cut to milliseconds; NULL where it is no datetime."""
     # 23 characters reach exactly to the third fraction digit.
-    seconds = F.when(F.length(text) == 17, F.concat(F.substring(text, 1, 16), F.lit(":00")))
-    plain = seconds.otherwise(F.rtrim(F.substring(text, 1, 23), F.lit("Z")))
-    return F.when(text.rlike(ISO_UTC), plain.try_cast("timestamp_ntz"))
+    return f"""
+      CASE WHEN {text} RLIKE r'{ISO_UTC}' THEN try_cast(
+        CASE WHEN length({text}) = 17 THEN substring({text}, 1, 16) || ':00'
+             ELSE rtrim('Z', substring({text}, 1, 23)) END AS TIMESTAMP_NTZ) END"""
 
 
 def format_iso(ts: Column) -> Column:

@@ -1,14 +1,15 @@
 """Envelope validation: request bodies in, typed entries, rejects and receipts out.
 
 Everything about a request is worked out in the row that holds its body, with higher-order
-functions over its entries. There is no shuffle between the body and the receipt.
+functions over its entries. There is no shuffle between the body and the receipt. The functions
+are written as SQL text, which one call hands to the parser; a stream builds them per micro-batch.
 """
 
 from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cordwood.functions.ids import entry_id
@@ -23,146 +24,120 @@ FUTURE_REASON = "timestamp cannot be more than 5 minutes in the future"
 LEVEL_REASON = "Invalid option: expected one of " + "|".join(f'"{level}"' for level in LEVELS)
 DATETIME_REASON = "Invalid ISO datetime"
 EMPTY_REASON = "must not be empty"
-
-ABSENT = "ABSENT"
+ENTRY_REASON = "entry: Invalid input: expected object"
 
 OK, NO_VALID, NOT_A_LIST = "ok", "no_valid_entries", "logs_not_a_list"
 NO_LOGS, MALFORMED = "missing_logs", "malformed_json"
 
+TEXT_FIELDS = ("timestamp", "level", "service", "message")
 
-def _kind(value: Column) -> Column:
-    """JSON type of a variant; ABSENT where the key is not there."""
-    return F.coalesce(F.schema_of_variant(value), F.lit(ABSENT))
-
-
-def _text(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "string")
-
-
-def _received(kind: Column) -> Column:
-    """JSON type as messages name it."""
-    return (
-        F.when(kind == ABSENT, "undefined")
-        .when(kind == "VOID", "null")
-        .when(kind == "STRING", "string")
-        .when(kind == "BOOLEAN", "boolean")
-        .when(kind.startswith("ARRAY"), "array")
-        .when(kind.startswith("OBJECT"), "object")
-        .otherwise("number")
-    )
-
-
-def _expected(what: str, kind: Column) -> Column:
-    return F.concat(F.lit(f"Invalid input: expected {what}, received "), _received(kind))
+# Beyond 2^53 JavaScript rounds an integer to a double before printing it.
+EXACT_DIGITS = 15
 
 
-def _issue(field: str, message: Column | str) -> Column:
-    text = F.lit(message) if isinstance(message, str) else message
-    return F.concat(F.lit(f"{field}: "), text)
+def _kind(value: str) -> str:
+    """JSON type of a variant; ABSENT where the key is not there."""
+    return f"coalesce(schema_of_variant({value}), 'ABSENT')"
 
 
-def _is_scalar(kind: Column) -> Column:
+def _is_scalar(kind: str) -> str:
     """String, number or boolean; numbers appear as BIGINT, DOUBLE or DECIMAL(p,s)."""
-    return kind.isin("STRING", "BOOLEAN", "BIGINT", "DOUBLE") | kind.startswith("DECIMAL")
-
-
-def _attribute_text(value: Column) -> Column:
-    """An attribute's stored form: strings as they are, others as JavaScript prints them."""
-    kind = F.schema_of_variant(value)
-    whole = F.try_variant_get(value, "$", "bigint")
-    # Beyond 2^53 JavaScript rounds integers to doubles before printing them.
-    exact = (kind == "BIGINT") & F.abs(F.try_variant_get(value, "$", "decimal(20,0)")).between(
-        0, 1 << 53
-    )
-    return (
-        F.when(kind.isin("STRING", "BOOLEAN"), _text(value))
-        .when(exact, whole.cast("string"))
-        .otherwise(number_text(F.try_variant_get(value, "$", "double")))
-    )
-
-
-def _read_entry(entry: Column) -> Column:
-    """The declared fields of one entry with their JSON types; other keys are dropped here."""
-    attributes = F.try_variant_get(entry["attributes"], "$", "map<string,variant>")
-    fields = [entry.isNotNull().alias("is_object")]
-    for name in ("timestamp", "level", "service", "message"):
-        fields += [_text(entry[name]).alias(name), _kind(entry[name]).alias(f"{name}_kind")]
-    fields += [
-        attributes.alias("attributes"),
-        F.when(attributes.isNotNull(), F.lit("OBJECT"))
-        .otherwise(_kind(entry["attributes"]))
-        .alias("attributes_kind"),
-    ]
-    return F.struct(*fields)
-
-
-def _judge_entry(
-    entry: Column, index: Column, request_id: Column, received_at: Column, require_non_empty: bool
-) -> Column:
-    """Typed entry with the reason it is refused for, NULL when it is accepted."""
-    time = parse_iso(F.when(entry["timestamp_kind"] == "STRING", entry["timestamp"]))
-    allowance = F.expr(f"INTERVAL {int(FUTURE_ALLOWANCE.total_seconds())} SECONDS")
-
-    def text_issue(name: str) -> Column:
-        kind = entry[f"{name}_kind"]
-        issue = F.when(kind != "STRING", _issue(name, _expected("string", kind)))
-        if require_non_empty:
-            issue = issue.when(entry[name] == "", _issue(name, EMPTY_REASON))
-        return issue
-
-    bad_values = F.size(
-        F.filter(
-            F.map_values(entry["attributes"]), lambda v: ~_is_scalar(F.schema_of_variant(v))
-        )
-    )
-    # One message per field, in the order the fields are declared.
-    issues = F.array(
-        F.when(
-            entry["timestamp_kind"] != "STRING",
-            _issue("timestamp", _expected("string", entry["timestamp_kind"])),
-        )
-        .when(time.isNull(), _issue("timestamp", DATETIME_REASON))
-        .when(time > received_at + allowance, _issue("timestamp", FUTURE_REASON)),
-        F.when(
-            (entry["level_kind"] != "STRING") | ~entry["level"].isin(*LEVELS),
-            _issue("level", LEVEL_REASON),
-        ),
-        text_issue("service"),
-        text_issue("message"),
-        F.when(
-            ~entry["attributes_kind"].isin(ABSENT, "OBJECT"),
-            _issue("attributes", _expected("record", entry["attributes_kind"])),
-        ).when(bad_values > 0, _issue("attributes", "Invalid input")),
-    )
-    reason = F.when(
-        ~entry["is_object"], F.lit("entry: Invalid input: expected object")
-    ).otherwise(F.nullif(F.array_join(issues, ", "), F.lit("")))
-    return F.struct(
-        index.alias("index"),
-        reason.alias("reason"),
-        entry_id(request_id, index).alias("id"),
-        time.alias("timestamp"),
-        entry["level"].alias("level"),
-        entry["service"].alias("service"),
-        entry["message"].alias("message"),
-        entry["attributes"].alias("attributes"),
-    )
-
-
-def _falsy(value: Column) -> Column:
+    return f"({kind} IN ('STRING', 'BOOLEAN', 'BIGINT', 'DOUBLE') OR {kind} LIKE 'DECIMAL%')"
+
+
+def _expected(field: str, what: str, kind: str) -> str:
+    """Message for a field of the wrong JSON type, naming the type it had."""
+    return f"""
+      '{field}: Invalid input: expected {what}, received ' || CASE
+        WHEN {kind} = 'ABSENT' THEN 'undefined'
+        WHEN {kind} = 'VOID' THEN 'null'
+        WHEN {kind} IN ('STRING', 'BOOLEAN') THEN lower({kind})
+        WHEN {kind} LIKE 'ARRAY%' THEN 'array'
+        WHEN {kind} LIKE 'OBJECT%' THEN 'object'
+        ELSE 'number' END"""
+
+
+def _read_entries() -> str:
+    """The declared fields of every entry with their JSON types; other keys are dropped here."""
+    fields = ",\n".join(
+        f"'{name}', try_variant_get(e['{name}'], '$', 'string'), "
+        f"'{name}_kind', {_kind(f"e['{name}']")}"
+        for name in TEXT_FIELDS
+    )
+    return f"""
+      transform(entries, e -> named_struct(
+        'is_object', e IS NOT NULL,
+        {fields},
+        'raw_attributes', e['attributes'],
+        'attributes', transform_values(
+          try_variant_get(e['attributes'], '$', 'map<string,variant>'),
+          (k, v) -> named_struct(
+            'kind', schema_of_variant(v),
+            'text', try_variant_get(v, '$', 'string'),
+            'number', try_variant_get(v, '$', 'double')))))"""
+
+
+def _type_entries() -> str:
+    """Times parsed; attributes as text, with a count of those that are no scalars."""
+    exact = f"a.kind = 'BIGINT' AND length(a.text) <= {EXACT_DIGITS}"
+    return f"""
+      transform(entries, e -> named_struct(
+        'raw', e,
+        'time', CASE WHEN e.timestamp_kind = 'STRING' THEN {parse_iso('e.timestamp')} END,
+        'attributes_kind', CASE WHEN e.attributes IS NOT NULL THEN 'OBJECT'
+                                ELSE {_kind('e.raw_attributes')} END,
+        'bad_attributes', size(filter(map_values(e.attributes),
+                                      a -> NOT {_is_scalar('a.kind')})),
+        'attributes', transform_values(e.attributes, (k, a) ->
+          CASE WHEN a.kind IN ('STRING', 'BOOLEAN') OR ({exact}) THEN a.text
+               ELSE {number_text('a.number')} END)))"""
+
+
+def _judge_entries(require_non_empty: bool) -> str:
+    """Typed entries with the reason each is refused for, NULL where it is accepted.
+
+    The reason names every failing field, in the order the fields are declared.
+    """
+    levels = ", ".join(f"'{level}'" for level in LEVELS)
+    allowance = int(FUTURE_ALLOWANCE.total_seconds())
+
+    def text_issue(name: str) -> str:
+        empty = f"WHEN t.raw.{name} = '' THEN '{name}: {EMPTY_REASON}'" if require_non_empty else ""
+        kind = f"t.raw.{name}_kind"
+        return f"CASE WHEN {kind} <> 'STRING' THEN {_expected(name, 'string', kind)} {empty} END"
+
+    return f"""
+      transform(entries, (t, i) -> named_struct(
+        'index', i,
+        'reason', CASE WHEN NOT t.raw.is_object THEN '{ENTRY_REASON}' ELSE nullif(concat_ws(', ',
+          CASE WHEN t.raw.timestamp_kind <> 'STRING'
+                 THEN {_expected('timestamp', 'string', 't.raw.timestamp_kind')}
+               WHEN t.time IS NULL THEN 'timestamp: {DATETIME_REASON}'
+               WHEN t.time > received_at + INTERVAL {allowance} SECONDS
+                 THEN 'timestamp: {FUTURE_REASON}' END,
+          CASE WHEN t.raw.level_kind <> 'STRING' OR t.raw.level NOT IN ({levels})
+                 THEN 'level: {LEVEL_REASON}' END,
+          {text_issue('service')},
+          {text_issue('message')},
+          CASE WHEN t.attributes_kind NOT IN ('ABSENT', 'OBJECT')
+                 THEN {_expected('attributes', 'record', 't.attributes_kind')}
+               WHEN t.bad_attributes > 0 THEN 'attributes: Invalid input' END), '') END,
+        'timestamp', t.time,
+        'level', t.raw.level,
+        'service', t.raw.service,
+        'message', t.raw.message,
+        'attributes', t.attributes))"""
+
+
+def _falsy(value: str) -> str:
     """Absent, null, false, zero or empty text."""
-    kind = F.schema_of_variant(value)
-    return (
-        value.isNull()
-        | F.is_variant_null(value)
-        | ((kind == "BOOLEAN") & (_text(value) == "false"))
-        | ((kind == "STRING") & (_text(value) == ""))
-        | (
-            _is_scalar(kind)
-            & ~kind.isin("STRING", "BOOLEAN")
-            & (F.try_variant_get(value, "$", "double") == 0)
-        )
-    )
+    kind, text = f"schema_of_variant({value})", f"try_variant_get({value}, '$', 'string')"
+    return f"""(
+      {value} IS NULL OR is_variant_null({value})
+      OR ({kind} = 'BOOLEAN' AND {text} = 'false')
+      OR ({kind} = 'STRING' AND {text} = '')
+      OR ({_is_scalar(kind)} AND {kind} NOT IN ('STRING', 'BOOLEAN')
+          AND try_variant_get({value}, '$', 'double') = 0))"""
 
 
 def parse_envelopes(envelopes: DataFrame) -> DataFrame:
@@ -201,74 +176,57 @@ def validate(envelopes: DataFrame, require_non_empty: bool = True) -> DataFrame:
     ``require_non_empty`` refuses an empty service or message, as the documents say; without it
     any string passes.
     """
-    judged = F.transform(
-        F.transform("entries", _read_entry),
-        lambda entry, index: _judge_entry(
-            entry, index, F.col("request_id"), F.col("received_at"), require_non_empty
-        ),
-    )
-    valid = F.size(F.filter("entries", lambda e: e["reason"].isNull()))
-    status = (
-        F.when(F.col("malformed"), MALFORMED)
-        .when(_falsy(F.col("logs")), NO_LOGS)
-        .when(F.col("entries").isNull(), NOT_A_LIST)
-    )
+    status = f"""
+      CASE WHEN malformed THEN '{MALFORMED}' WHEN {_falsy('logs')} THEN '{NO_LOGS}'
+           WHEN entries IS NULL THEN '{NOT_A_LIST}' END AS failure"""
+    keys = ["request_id", "received_at"]
     return (
         parse_envelopes(envelopes)
-        .select(
-            "request_id",
-            "received_at",
-            status.alias("failure"),
-            F.when(
-                ~F.col("malformed"), judged
-            ).alias("entries"),
-        )
-        .withColumn("accepted", F.when(F.col("entries").isNull(), 0).otherwise(valid))
-        .select(
-            "request_id",
-            "received_at",
-            F.coalesce(
-                "failure", F.when(F.col("accepted") == 0, NO_VALID).otherwise(OK)
-            ).alias("status"),
+        .selectExpr(*keys, status, f"CASE WHEN NOT malformed THEN {_read_entries()} END AS entries")
+        .selectExpr(*keys, "failure", f"{_type_entries()} AS entries")
+        .selectExpr(*keys, "failure", f"{_judge_entries(require_non_empty)} AS entries")
+        .withColumn("accepted", F.expr(f"coalesce(size({VALID}), 0)"))
+        .selectExpr(
+            *keys,
+            f"coalesce(failure, CASE WHEN accepted = 0 THEN '{NO_VALID}' ELSE '{OK}' END) AS status",
             "accepted",
             "entries",
         )
     )
 
 
+VALID = "filter(entries, e -> e.reason IS NULL)"
+REFUSED = "filter(entries, e -> e.reason IS NOT NULL)"
+
+
 def accepted(validated: DataFrame) -> DataFrame:
-    """Rows for the log table: attributes as text, an empty map where there were none."""
-    entries = F.filter("entries", lambda e: e["reason"].isNull())
-    text = F.transform_values("attributes", lambda _, value: _attribute_text(value))
+    """Rows for the log table; an empty map where there were no attributes."""
+    none = F.create_map().cast("map<string,string>")
     return (
-        validated.select("received_at", "request_id", F.inline(entries))
-        .withColumn("attributes", F.coalesce(text, F.create_map().cast("map<string,string>")))
+        validated.selectExpr("received_at", "request_id", f"inline({VALID})")
+        .withColumn("id", entry_id(F.col("request_id"), F.col("index")))
+        .withColumn("attributes", F.coalesce("attributes", none))
         .select(*LOG_COLUMNS, "request_id", "received_at")
     )
 
 
 def rejected(validated: DataFrame) -> DataFrame:
     """One row per refused entry."""
-    refused = F.filter("entries", lambda e: e["reason"].isNotNull())
-    return validated.select("request_id", "received_at", F.inline(refused)).select(
+    return validated.selectExpr("request_id", "received_at", f"inline({REFUSED})").select(
         "request_id", "index", "reason", "received_at"
     )
 
 
 def receipts(validated: DataFrame) -> DataFrame:
     """The answer to every request, the empty and the malformed ones included."""
-    refused = F.transform(
-        F.filter("entries", lambda e: e["reason"].isNotNull()),
-        lambda e: F.struct(e["index"].alias("index"), e["reason"].alias("reason")),
-    )
-    return validated.select(
+    refused = f"transform({REFUSED}, e -> named_struct('index', e.index, 'reason', e.reason))"
+    none = "CAST(array() AS ARRAY<STRUCT<index: INT, reason: STRING>>)"
+    return validated.selectExpr(
         "request_id",
         "status",
-        F.when(F.col("status") == OK, 200).otherwise(400).alias("http_status"),
+        f"CASE WHEN status = '{OK}' THEN 200 ELSE 400 END AS http_status",
         "accepted",
-        F.coalesce(refused, F.array().cast("array<struct<index:int,reason:string>>")).alias(
-            "rejected"
-        ),
+        f"coalesce({refused}, {none}) AS rejected",
         "received_at",
     )
 
