@@ -31,8 +31,15 @@ NO_LOGS, MALFORMED = "missing_logs", "malformed_json"
 
 TEXT_FIELDS = ("timestamp", "level", "service", "message")
 
-# Beyond 2^53 JavaScript rounds an integer to a double before printing it.
-EXACT_DIGITS = 15
+# Number texts up to this length are at most 15 digits, sign and point, which a double keeps.
+EXACT_LENGTH = 16
+
+# Entries as read from a body: unknown keys are dropped, what is no object becomes NULL.
+ENTRIES = (
+    "ARRAY<STRUCT<"
+    + ", ".join(f"{name}: VARIANT" for name in (*TEXT_FIELDS, "attributes"))
+    + ">>"
+)
 
 
 def _kind(value: str) -> str:
@@ -58,28 +65,30 @@ def _expected(field: str, what: str, kind: str) -> str:
 
 
 def _read_entries() -> str:
-    """The declared fields of every entry with their JSON types; other keys are dropped here."""
+    """Texts and JSON types of every entry's fields, and of its attributes."""
     fields = ",\n".join(
-        f"'{name}', try_variant_get(e['{name}'], '$', 'string'), "
-        f"'{name}_kind', {_kind(f"e['{name}']")}"
+        f"'{name}', try_variant_get(e.{name}, '$', 'string'), '{name}_kind', {_kind(f'e.{name}')}"
         for name in TEXT_FIELDS
     )
     return f"""
       transform(entries, e -> named_struct(
         'is_object', e IS NOT NULL,
         {fields},
-        'raw_attributes', e['attributes'],
+        'raw_attributes', e.attributes,
         'attributes', transform_values(
-          try_variant_get(e['attributes'], '$', 'map<string,variant>'),
+          try_variant_get(e.attributes, '$', 'map<string,variant>'),
           (k, v) -> named_struct(
-            'kind', schema_of_variant(v),
-            'text', try_variant_get(v, '$', 'string'),
-            'number', try_variant_get(v, '$', 'double')))))"""
+            'kind', schema_of_variant(v), 'text', try_variant_get(v, '$', 'string')))))"""
 
 
 def _type_entries() -> str:
     """Times parsed; attributes as text, with a count of those that are no scalars."""
-    exact = f"a.kind = 'BIGINT' AND length(a.text) <= {EXACT_DIGITS}"
+    # Short numbers print as they are read, unless they are small enough for an exponent. The text
+    # of any other is cast to the double that JavaScript would hold.
+    as_read = (
+        "a.kind IN ('STRING', 'BOOLEAN') OR (a.kind <> 'DOUBLE' "
+        f"AND length(a.text) <= {EXACT_LENGTH} AND NOT contains(a.text, '0.00000'))"
+    )
     return f"""
       transform(entries, e -> named_struct(
         'raw', e,
@@ -89,8 +98,8 @@ def _type_entries() -> str:
         'bad_attributes', size(filter(map_values(e.attributes),
                                       a -> NOT {_is_scalar('a.kind')})),
         'attributes', transform_values(e.attributes, (k, a) ->
-          CASE WHEN a.kind IN ('STRING', 'BOOLEAN') OR ({exact}) THEN a.text
-               ELSE {number_text('a.number')} END)))"""
+          CASE WHEN {as_read} THEN a.text
+               ELSE {number_text("try_cast(a.text AS DOUBLE)")} END)))"""
 
 
 def _judge_entries(require_non_empty: bool) -> str:
@@ -163,7 +172,7 @@ def parse_envelopes(envelopes: DataFrame) -> DataFrame:
         .withColumns(
             {
                 "logs": F.try_variant_get("doc", "$[0].logs", "variant"),
-                "entries": F.try_variant_get("doc", "$[0].logs", "array<map<string,variant>>"),
+                "entries": F.try_variant_get("doc", "$[0].logs", ENTRIES),
             }
         )
         .drop("doc", "body")
