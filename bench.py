@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cordwood.operators import buckets, ingest, listing
+from cordwood.operators.filters import time_bounds
 from cordwood.plans.params import BucketQuery, ListingQuery
 from cordwood.plans.registry import QUERIES
 from cordwood.schema import ENVELOPE_SCHEMA
@@ -92,7 +93,9 @@ def main() -> None:
         "ingest_batch": write_store,
         "listing_30d": lambda: listing.page(table, page),
         "listing_30d_filtered": lambda: listing.page(table, found),
-        "aggregate_30d_1h_service": lambda: buckets.bucket_counts(table.read(), hourly).collect(),
+        "aggregate_30d_1h_service": lambda: buckets.bucket_counts(
+            table.scan(*time_bounds(hourly)), hourly
+        ).collect(),
         "rollup_30d": lambda: buckets.minute_rollup(table.read()).agg(F.sum("count")).collect(),
     }
     for name in REGISTERED:

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
-from datetime import datetime, time, timedelta
+from dataclasses import dataclass
+from datetime import datetime, time
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from cordwood.functions.text import cursor_text
-from cordwood.functions.times import format_iso
+from cordwood.functions.times import bucket_start, format_iso
 from cordwood.operators.filters import select_rows, time_bounds
 from cordwood.plans.params import Cursor, ListingQuery
 from cordwood.schema import LOG_COLUMNS
@@ -22,9 +22,56 @@ def newest_first() -> list[Column]:
     return [F.col("timestamp").desc(), F.col("id").desc()]
 
 
-def top_rows(df: DataFrame, query: ListingQuery, count: int) -> DataFrame:
+# Plans that read less than this take the newest rows of every task in one step; there are then
+# about a hundred tasks at most.
+DIRECT_BYTES = 16 << 30
+LANES = 512
+
+
+def _plan_bytes(df: DataFrame) -> int:
+    """Catalyst's estimate of what a plan reads; an unknown size counts as huge."""
+    return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+
+
+def _newest_candidates(rows: DataFrame, count: int) -> DataFrame:
+    """A small superset of the newest ``count`` rows, for input read by very many tasks.
+
+    Rows are counted by minute, which reads the time and the filtered columns only. The minutes
+    that are needed to reach ``count`` bound the second read from below, and the bound reaches the
+    scan. Should one minute hold a large part of all rows, many tasks will still offer ``count``
+    rows each; they are thinned by lanes first, so that the last step merges LANES lists and not
+    one per task.
+    """
+    minutes = rows.groupBy(bucket_start(F.col("timestamp"), "1m").alias("start")).agg(
+        F.count(F.lit(1)).alias("rows")
+    )
+    # One row per minute that has logs: half a million a year.
+    newer = F.sum("rows").over(
+        Window.orderBy(F.desc("start")).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    floor = (
+        minutes.select("start", F.coalesce(newer, F.lit(0)).alias("newer"))
+        .where(F.col("newer") < count)
+        .agg(F.min("start"))
+    )
+    lane = Window.partitionBy("lane").orderBy(*newest_first())
+    return (
+        rows.where(F.col("timestamp") >= floor.scalar())
+        .withColumn("lane", F.spark_partition_id() % LANES)
+        .withColumn("place", F.row_number().over(lane))
+        .where(F.col("place") <= count)
+        .drop("lane", "place")
+    )
+
+
+def top_rows(
+    df: DataFrame, query: ListingQuery, count: int, direct_bytes: int = DIRECT_BYTES
+) -> DataFrame:
     """The newest ``count`` matching rows: every task keeps that many, no full sort."""
-    return select_rows(df, query).select(*LOG_COLUMNS).orderBy(*newest_first()).limit(count)
+    rows = select_rows(df, query).select(*LOG_COLUMNS)
+    if count and _plan_bytes(rows) > direct_bytes:
+        rows = _newest_candidates(rows, count)
+    return rows.orderBy(*newest_first()).limit(count)
 
 
 def with_iso_time(rows: DataFrame) -> DataFrame:
@@ -97,14 +144,8 @@ def _newest_by_day(table: LogTable, query: ListingQuery, wanted: int) -> list[Ro
     taken, span = 0, 1
     while taken < len(days) and len(found) < wanted:
         newest, oldest = days[taken], days[min(taken + span, len(days)) - 1]
-        floor = datetime.combine(oldest, time.min)
-        ceiling = datetime.combine(newest + timedelta(days=1), time.min)
-        part = replace(
-            query,
-            since=floor if query.since is None else max(floor, query.since),
-            until=ceiling if query.until is None else min(ceiling, query.until),
-        )
-        found += top_rows(table.read(), part, wanted - len(found)).collect()
+        part = table.scan(*(datetime.combine(day, time.min) for day in (oldest, newest)))
+        found += top_rows(part, query, wanted - len(found)).collect()
         taken, span = taken + span, span * 2
     return found
 

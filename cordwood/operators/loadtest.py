@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cordwood.operators.percentile import exact_percentile
+from cordwood.operators.percentile import exact_percentile, small_side
 
 # Offered logs per second and seconds of each phase, in order.
 PHASES = {
@@ -77,8 +77,23 @@ def scenario_plan(spark: SparkSession) -> DataFrame:
     )
 
 
+TOTALS = (
+    "requests",
+    "accepted_records",
+    "rejected_records",
+    "http_errors",
+    "application_errors",
+    "failed_requests",
+    "dropped_iterations",
+)
+
+
 def request_rollup(samples: DataFrame, keys: Sequence[str] = PHASE_KEYS) -> DataFrame:
-    """Totals per key: requests, records, and errors by who is to blame for them."""
+    """Totals per key: requests, records, and errors by who is to blame for them.
+
+    ``exit_code`` and ``recovered`` may come with the samples; without them the generator is taken
+    to have ended well and the service to have come back.
+    """
     status = F.col("status")
     http_error = (status == 0) | (status >= 500)
     partly_refused = (F.col("type") == "ingest") & (status == 200) & (F.col("rejected") > 0)
@@ -91,6 +106,19 @@ def request_rollup(samples: DataFrame, keys: Sequence[str] = PHASE_KEYS) -> Data
         F.count_if(application_error).alias("application_errors"),
         F.count_if(~status.between(200, 399)).alias("failed_requests"),
         F.sum("dropped").alias("dropped_iterations"),
+        *[
+            (f(name) if name in samples.columns else F.lit(default)).alias(name)
+            for name, f, default in (("exit_code", F.max, 0), ("recovered", F.min, True))
+        ],
+    )
+
+
+def scenario_totals(rollup: DataFrame) -> DataFrame:
+    """A rollup by phase folded to scenarios."""
+    return rollup.groupBy(*SCENARIO_KEYS).agg(
+        *[F.sum(name).alias(name) for name in TOTALS],
+        F.max("exit_code").alias("exit_code"),
+        F.min("recovered").alias("recovered"),
     )
 
 
@@ -116,13 +144,13 @@ def approximate_p95(samples: DataFrame, keys: Sequence[str], accuracy: int = 10_
     )
 
 
-def throughput(samples: DataFrame) -> DataFrame:
-    """Per scenario: achieved rate from accepted records, error shares and requests lost.
+def throughput(rollup: DataFrame) -> DataFrame:
+    """Per scenario of a rollup: achieved rate from accepted records, error shares, requests lost.
 
     The offered rate stands beside the achieved one and never in its place.
     """
-    totals = request_rollup(samples, SCENARIO_KEYS)
-    plan = scenario_plan(samples.sparkSession)
+    totals = scenario_totals(rollup)
+    plan = scenario_plan(rollup.sparkSession)
     requests = F.col("requests")
     return totals.join(F.broadcast(plan), "scenario").select(
         *SCENARIO_KEYS,
@@ -140,6 +168,8 @@ def throughput(samples: DataFrame) -> DataFrame:
             "requests_lost"
         ),
         "latency_limit",
+        "exit_code",
+        "recovered",
     )
 
 
@@ -165,25 +195,13 @@ def limitation(
     )
 
 
-def scenario_results(samples: DataFrame) -> DataFrame:
+def scenario_results(samples: DataFrame, rollup: DataFrame | None = None) -> DataFrame:
     """Per scenario: rates, latencies, who limited it, whether it held its threshold, its status.
 
-    ``exit_code`` and ``recovered`` may come with the samples; without them the generator is taken
-    to have ended well and the service to have come back.
+    ``rollup`` is ``request_rollup`` of the samples where the caller has it already.
     """
-    base = throughput(samples).join(latency_p95(samples), list(SCENARIO_KEYS))
-    outcome = [
-        F.max("exit_code") if "exit_code" in samples.columns else F.lit(0),
-        F.min("recovered") if "recovered" in samples.columns else F.lit(True),
-    ]
-    if {"exit_code", "recovered"} & set(samples.columns):
-        ends = samples.groupBy(*SCENARIO_KEYS).agg(
-            outcome[0].alias("exit_code"), outcome[1].alias("recovered")
-        )
-        base = base.join(ends, list(SCENARIO_KEYS))
-    else:
-        base = base.withColumns({"exit_code": outcome[0], "recovered": outcome[1]})
-
+    totals = throughput(request_rollup(samples) if rollup is None else rollup)
+    base = totals.join(latency_p95(samples), list(SCENARIO_KEYS))
     offered, achieved = F.col("offered_logs_per_second"), F.col("logs_per_second")
     errors = F.col("error_rate")
     limited = limitation(
@@ -213,11 +231,13 @@ def scenario_results(samples: DataFrame) -> DataFrame:
 
 def phase_results(samples: DataFrame) -> DataFrame:
     """Per planned phase of every scenario that ran; a phase without samples achieved nothing."""
-    scenarios = scenario_results(samples).select(
+    # Written once: the samples are not read again for the phases.
+    rollup = small_side(request_rollup(samples))
+    scenarios = scenario_results(samples, rollup).select(
         *SCENARIO_KEYS, "dropped_iterations", "error_rate", "latency_p95_ms"
     )
     planned = scenarios.join(F.broadcast(phase_plan(samples.sparkSession)), "scenario")
-    accepted = samples.groupBy(*PHASE_KEYS).agg(F.sum("accepted").alias("accepted_records"))
+    accepted = rollup.select(*PHASE_KEYS, "accepted_records")
     achieved = _per_second(F.col("accepted_records"), F.col("seconds"))
     limited = limitation(
         F.col("target"),

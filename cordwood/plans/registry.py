@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cordwood.functions.times import bucket_start
 from cordwood.operators import buckets, ingest, listing, loadtest, reconcile
+from cordwood.operators.filters import time_bounds
 from cordwood.plans.params import BucketQuery, Cursor, ListingQuery
 from cordwood.session import configure, scratch_path
 from cordwood.sources import generators, readers, sample_tables
@@ -413,7 +414,8 @@ def table_listing(spark, sf_dir):
     asked = ListingQuery.parse(
         {"since": "2024-01-12T00:00:00Z", "until": "2024-01-14T12:00:00Z", "level": "error"}
     )
-    return flat(listing.listing(_stored_events(spark, sf_dir).read(), asked), "k", "user_id")
+    days = _stored_events(spark, sf_dir).scan(*time_bounds(asked))
+    return flat(listing.listing(days, asked), "k", "user_id")
 
 
 @query
@@ -426,7 +428,7 @@ def table_buckets(spark, sf_dir):
             "group_by": "service",
         }
     )
-    return buckets.bucket_counts(_stored_events(spark, sf_dir).read(), asked)
+    return buckets.bucket_counts(_stored_events(spark, sf_dir).scan(*time_bounds(asked)), asked)
 
 
 RETENTION_NOW = datetime(2024, 2, 10, 12)
@@ -500,7 +502,7 @@ def _samples(spark, sf_dir) -> DataFrame:
 
 @query
 def loadtest_rollup(spark, sf_dir):
-    return loadtest.request_rollup(_samples(spark, sf_dir))
+    return loadtest.request_rollup(_samples(spark, sf_dir)).drop("exit_code", "recovered")
 
 
 @query
@@ -515,7 +517,8 @@ def loadtest_p95_phases(spark, sf_dir):
 
 @query
 def loadtest_throughput(spark, sf_dir):
-    return loadtest.throughput(_samples(spark, sf_dir)).drop("latency_limit")
+    rollup = loadtest.request_rollup(_samples(spark, sf_dir))
+    return loadtest.throughput(rollup).drop("latency_limit", "exit_code", "recovered")
 
 
 @query
@@ -555,7 +558,7 @@ def loadtest_consistency(spark, sf_dir):
         .agg((ok / F.count(F.lit(1))).alias("rate"))
         .select(*keys, F.round("rate", 4).alias("read_after_write_rate"))
     )
-    return loadtest.consistency(loadtest.throughput(samples), visible, reads)
+    return loadtest.consistency(loadtest.throughput(loadtest.request_rollup(samples)), visible, reads)
 
 
 # --- generators ---------------------------------------------------------------------------------

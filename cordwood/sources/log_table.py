@@ -36,13 +36,23 @@ class DayTable:
         self.day_column = day_column
 
     def read(self) -> DataFrame:
-        if not self.exists():
-            return self.spark.createDataFrame([], with_partitions(self.schema))
-        return self.spark.read.schema(with_partitions(self.schema)).parquet(self.path)
+        return self.scan()
 
     def scan(self, first: datetime | None = None, last: datetime | None = None) -> DataFrame:
-        """Rows of the days from ``first`` to ``last``; other days are not listed or opened."""
-        return where_all(self.read(), day_predicates(first, last))
+        """Rows of the days from ``first`` to ``last``.
+
+        Only the folders of those days are listed: a table keeps one folder per day and batch, and
+        listing all of them would cost more than a query for an hour.
+        """
+        schema = with_partitions(self.schema)
+        folders = [
+            f"{self.path}/dt={day}"
+            for day in self.days()
+            if (first is None or day >= first.date()) and (last is None or day <= last.date())
+        ]
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", self.path).parquet(*folders)
 
     def write(self, df: DataFrame, batch: str) -> None:
         """Write one batch as it is partitioned: every task writes its own files per day."""

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cordwood.operators import listing
+from cordwood.operators.filters import time_bounds
 from cordwood.plans.params import ListingQuery
 from cordwood.sources.log_table import LogTable
 
@@ -115,6 +116,22 @@ def test_walk_equals_sort_and_positions(spark):
     assert [p["first_id"] for p in pages] == expected[::70]
 
 
+def test_wide_and_direct_ways_agree(spark):
+    df = _many(spark)
+    for params, count in (({}, 40), ({"service": "s1"}, 101), ({"service": "none"}, 5), ({}, 1001)):
+        query = ListingQuery.parse(params)
+        wide = listing.top_rows(df.repartition(9), query, count, direct_bytes=0)
+        assert wide.collect() == listing.top_rows(df, query, count, direct_bytes=1 << 62).collect()
+        assert "WindowGroupLimit" in wide._jdf.queryExecution().toString()
+
+
+def test_one_crowded_minute_is_thinned_by_lane(spark, logs):
+    df = logs(*[(f"{i:04d}", T0 + (i % 3) * TICK) for i in range(900)]).repartition(8)
+    query = ListingQuery.parse({})
+    wide = listing.top_rows(df, query, 30, direct_bytes=0).collect()
+    assert wide == listing.top_rows(df, query, 30, direct_bytes=1 << 62).collect()
+
+
 def test_stored_table_reads_days_as_needed(spark, tmp_path):
     df = _many(spark)
     table = LogTable(spark, str(tmp_path / "logs"))
@@ -138,6 +155,7 @@ def test_plan_prunes_and_keeps_the_top(spark, tmp_path):
     table = LogTable(spark, str(tmp_path / "logs"))
     table.load(_many(spark), "one")
     query = ListingQuery.parse({"since": "2026-07-22T00:00:00Z", "until": "2026-07-22T12:00:00Z", "service": "s1"})
+    assert all("dt=2026-07-22" in f for f in table.scan(*time_bounds(query)).inputFiles())
     plan = listing.listing(table.read(), query)._jdf.queryExecution().toString()
     assert "TakeOrderedAndProject" in plan
     assert "dt#" in plan.split("PartitionFilters: [")[1].split("]")[0]
