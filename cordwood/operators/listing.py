@@ -14,7 +14,7 @@ from cordwood.functions.times import bucket_start, format_iso
 from cordwood.operators.filters import select_rows, time_bounds
 from cordwood.plans.params import Cursor, ListingQuery
 from cordwood.schema import LOG_COLUMNS
-from cordwood.session import shared_dir
+from cordwood.session import plan_bytes, shared_dir
 from cordwood.sources.log_table import LogTable
 
 
@@ -22,17 +22,11 @@ def newest_first() -> list[Column]:
     return [F.col("timestamp").desc(), F.col("id").desc()]
 
 
-# Plans that read less than this take the newest rows of every task in one step; there are then
-# about a hundred tasks at most.
-DIRECT_BYTES = 16 << 30
+# Plans that read less than this, about ten tasks, merge the newest rows of all tasks in one step.
+DIRECT_BYTES = 1 << 30
 LANES = 512
 
 
-def _plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of what a plan reads; an unknown size counts as huge."""
-    return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-
-
 def _newest_candidates(rows: DataFrame, count: int) -> DataFrame:
     """A small superset of the newest ``count`` rows, for input read by very many tasks.
 
@@ -69,7 +63,7 @@ def top_rows(
 ) -> DataFrame:
     """The newest ``count`` matching rows: every task keeps that many, no full sort."""
     rows = select_rows(df, query).select(*LOG_COLUMNS)
-    if count and _plan_bytes(rows) > direct_bytes:
+    if count and plan_bytes(rows) > direct_bytes:
         rows = _newest_candidates(rows, count)
     return rows.orderBy(*newest_first()).limit(count)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that change results, so every entry point applies them.
 SEMANTIC_CONF = {
@@ -64,3 +64,8 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """Catalyst's estimate of what a plan reads, from file sizes; an unknown size counts as huge."""
+    return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cordwood.functions.times import instant
+from cordwood.operators.buckets import minute_rollup
 from cordwood.operators.filters import day_predicates, where_all
 from cordwood.schema import (
     LOG_SCHEMA,
@@ -17,12 +18,18 @@ from cordwood.schema import (
     ROLLUP_SCHEMA,
     with_partitions,
 )
+from cordwood.session import plan_bytes
 
 RETENTION = timedelta(days=30)
 
 # Rows per file at most; the writer starts a new file beyond it.
 MAX_RECORDS_PER_FILE = 20_000_000
 
+# Input bytes per task of a bulk load. An estimate of more tasks than the maximum is no estimate
+# but an unknown size.
+LOAD_BYTES = 256 << 20
+MAX_PARTITIONS = 1_000_000
+
 
 class DayTable:
     """A Parquet table laid out by day and batch.
@@ -114,10 +121,15 @@ class LogTable(DayTable):
 
         Rows go out by range of (timestamp, id). A day with many rows gets many tasks, even one
         whose rows share a single timestamp, and the time range in each file's footer is tight,
-        so a query for an hour skips the day's other files.
+        so a query for an hour skips the day's other files. Without ``partitions`` there are as
+        many as the input's size asks for, and no fewer than the session's.
         """
         keys = ["dt", "timestamp", "id"]
         rows = self._with_day(df, batch)
+        if partitions is None:
+            needed = plan_bytes(df) // LOAD_BYTES
+            if int(self.spark.conf.get("spark.sql.shuffle.partitions")) < needed <= MAX_PARTITIONS:
+                partitions = needed
         spread = (
             rows.repartitionByRange(*keys)
             if partitions is None
@@ -157,3 +169,15 @@ class LogStore:
         self.rollup = DayTable(spark, f"{self.root}/rollup", ROLLUP_SCHEMA, "start")
         self.rejects = DayTable(spark, f"{self.root}/rejects", REJECT_SCHEMA, "received_at")
         self.receipts = DayTable(spark, f"{self.root}/receipts", RECEIPT_SCHEMA, "received_at")
+
+    def load(self, df: DataFrame, batch: str) -> None:
+        """Bulk load that keeps the rollup in step; loading a batch again replaces it."""
+        self.logs.load(df, batch)
+        self.rollup.write(minute_rollup(df), batch)
+
+    def expire(self, now: datetime, keep: timedelta = RETENTION) -> list[date]:
+        """Drop the days past the limit from all tables; the days dropped from the logs."""
+        limit = (now - keep).date()
+        for table in (self.rollup, self.rejects, self.receipts):
+            table.drop_days_before(limit)
+        return self.logs.drop_days_before(limit)

@@ -89,6 +89,16 @@ def test_a_batch_that_fails_midway_is_repaired_by_its_replay(spark, tmp_path, mo
     assert store.receipts.read().count() == 3
 
 
+def test_a_line_that_is_no_envelope_is_refused_with_a_receipt(spark, tmp_path):
+    store = LogStore(spark, str(tmp_path / "store"))
+    put(tmp_path / "in", "a.json", [0])
+    with open(tmp_path / "in" / "a.json", "a") as file:
+        file.write("\nnot json")
+    run(spark, tmp_path, store)
+    rows = {r["status"]: r for r in store.receipts.read().collect()}
+    assert set(rows) == {"ok", "malformed_json"} and rows["malformed_json"]["received_at"] is not None
+
+
 def test_writers_with_their_own_names_do_not_touch_each_other(spark, tmp_path):
     store = LogStore(spark, str(tmp_path / "store"))
     for name, number in (("a", 0), ("b", 3)):
