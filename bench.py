@@ -48,7 +48,7 @@ REGISTERED = (
     "loadtest_p95",
     "loadtest_limitation",
     "seed_level_mix",
-    "stream_ingest_logs",
+    "stream_ingest",
 )
 
 

@@ -89,9 +89,15 @@ def _type_entries() -> str:
         "a.kind IN ('STRING', 'BOOLEAN') OR (a.kind <> 'DOUBLE' "
         f"AND length(a.text) <= {EXACT_LENGTH} AND NOT contains(a.text, '0.00000'))"
     )
+    # Only what the next step reads: every step copies its structs.
+    kept = ", ".join(
+        f"'{name}', e.{name}"
+        for name in ("is_object", "timestamp_kind")
+        + tuple(f"{field}{suffix}" for field in TEXT_FIELDS[1:] for suffix in ("", "_kind"))
+    )
     return f"""
       transform(entries, e -> named_struct(
-        'raw', e,
+        {kept},
         'time', CASE WHEN e.timestamp_kind = 'STRING' THEN {parse_iso('e.timestamp')} END,
         'attributes_kind', CASE WHEN e.attributes IS NOT NULL THEN 'OBJECT'
                                 ELSE {_kind('e.raw_attributes')} END,
@@ -111,20 +117,20 @@ def _judge_entries(require_non_empty: bool) -> str:
     allowance = int(FUTURE_ALLOWANCE.total_seconds())
 
     def text_issue(name: str) -> str:
-        empty = f"WHEN t.raw.{name} = '' THEN '{name}: {EMPTY_REASON}'" if require_non_empty else ""
-        kind = f"t.raw.{name}_kind"
+        empty = f"WHEN t.{name} = '' THEN '{name}: {EMPTY_REASON}'" if require_non_empty else ""
+        kind = f"t.{name}_kind"
         return f"CASE WHEN {kind} <> 'STRING' THEN {_expected(name, 'string', kind)} {empty} END"
 
     return f"""
       transform(entries, (t, i) -> named_struct(
         'index', i,
-        'reason', CASE WHEN NOT t.raw.is_object THEN '{ENTRY_REASON}' ELSE nullif(concat_ws(', ',
-          CASE WHEN t.raw.timestamp_kind <> 'STRING'
-                 THEN {_expected('timestamp', 'string', 't.raw.timestamp_kind')}
+        'reason', CASE WHEN NOT t.is_object THEN '{ENTRY_REASON}' ELSE nullif(concat_ws(', ',
+          CASE WHEN t.timestamp_kind <> 'STRING'
+                 THEN {_expected('timestamp', 'string', 't.timestamp_kind')}
                WHEN t.time IS NULL THEN 'timestamp: {DATETIME_REASON}'
                WHEN t.time > received_at + INTERVAL {allowance} SECONDS
                  THEN 'timestamp: {FUTURE_REASON}' END,
-          CASE WHEN t.raw.level_kind <> 'STRING' OR t.raw.level NOT IN ({levels})
+          CASE WHEN t.level_kind <> 'STRING' OR t.level NOT IN ({levels})
                  THEN 'level: {LEVEL_REASON}' END,
           {text_issue('service')},
           {text_issue('message')},
@@ -132,9 +138,9 @@ def _judge_entries(require_non_empty: bool) -> str:
                  THEN {_expected('attributes', 'record', 't.attributes_kind')}
                WHEN t.bad_attributes > 0 THEN 'attributes: Invalid input' END), '') END,
         'timestamp', t.time,
-        'level', t.raw.level,
-        'service', t.raw.service,
-        'message', t.raw.message,
+        'level', t.level,
+        'service', t.service,
+        'message', t.message,
         'attributes', t.attributes))"""
 
 
@@ -180,7 +186,7 @@ def parse_envelopes(envelopes: DataFrame) -> DataFrame:
 
 
 def validate(envelopes: DataFrame, require_non_empty: bool = True) -> DataFrame:
-    """One row per request: status, and every entry typed and judged.
+    """One row per request: what is wrong with the whole of it, and every entry typed and judged.
 
     ``require_non_empty`` refuses an empty service or message, as the documents say; without it
     any string passes.
@@ -194,13 +200,6 @@ def validate(envelopes: DataFrame, require_non_empty: bool = True) -> DataFrame:
         .selectExpr(*keys, status, f"CASE WHEN NOT malformed THEN {_read_entries()} END AS entries")
         .selectExpr(*keys, "failure", f"{_type_entries()} AS entries")
         .selectExpr(*keys, "failure", f"{_judge_entries(require_non_empty)} AS entries")
-        .withColumn("accepted", F.expr(f"coalesce(size({VALID}), 0)"))
-        .selectExpr(
-            *keys,
-            f"coalesce(failure, CASE WHEN accepted = 0 THEN '{NO_VALID}' ELSE '{OK}' END) AS status",
-            "accepted",
-            "entries",
-        )
     )
 
 
@@ -230,13 +229,20 @@ def receipts(validated: DataFrame) -> DataFrame:
     """The answer to every request, the empty and the malformed ones included."""
     refused = f"transform({REFUSED}, e -> named_struct('index', e.index, 'reason', e.reason))"
     none = "CAST(array() AS ARRAY<STRUCT<index: INT, reason: STRING>>)"
+    status = f"coalesce(failure, CASE WHEN accepted = 0 THEN '{NO_VALID}' ELSE '{OK}' END)"
     return validated.selectExpr(
         "request_id",
-        "status",
-        f"CASE WHEN status = '{OK}' THEN 200 ELSE 400 END AS http_status",
-        "accepted",
+        "failure",
+        f"coalesce(size({VALID}), 0) AS accepted",
         f"coalesce({refused}, {none}) AS rejected",
         "received_at",
+    ).selectExpr(
+        "request_id",
+        f"{status} AS status",
+        f"CASE WHEN {status} = '{OK}' THEN 200 ELSE 400 END AS http_status",
+        "accepted",
+        "rejected",
+        "received_at",
     )
 
 

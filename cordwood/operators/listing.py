@@ -154,8 +154,8 @@ def walk(source: DataFrame | LogTable, query: ListingQuery) -> Iterator[Page]:
         query = query.after(Cursor.decode(current.next_cursor))
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """All rows with their position in newest-first order, from 0.
+def _positions(df: DataFrame) -> DataFrame:
+    """All keys with their position in newest-first order, from 0, and the number of rows.
 
     A window over the whole table would put every row into one task. Instead the sort spreads
     rows by range of (timestamp, id), which also splits a crowd of equal times; a row's place in
@@ -163,12 +163,11 @@ def numbered(df: DataFrame) -> DataFrame:
     checkpointed so that both uses see the same partitions.
     """
     shared_dir(df.sparkSession)
-    place = F.monotonically_increasing_id()
     # The id packs the partition number above 33 bits of row number.
     keys = (
         df.select("timestamp", "id")
         .orderBy(*newest_first())
-        .withColumn("place", place)
+        .withColumn("place", F.monotonically_increasing_id())
         .select(
             "timestamp",
             "id",
@@ -179,34 +178,42 @@ def numbered(df: DataFrame) -> DataFrame:
     )
     # One row per partition of the sort, so this table is as small as the plan is wide: it may
     # pass through one task and be broadcast.
-    before = F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    by_part = Window.orderBy("part")
+    before = F.sum("size").over(by_part.rowsBetween(Window.unboundedPreceding, -1))
+    every = by_part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     earlier = (
         keys.groupBy("part")
         .agg(F.count(F.lit(1)).alias("size"))
-        .select("part", F.coalesce(before, F.lit(0)).alias("before"))
+        .select(
+            "part", F.coalesce(before, F.lit(0)).alias("before"), F.sum("size").over(every).alias("total")
+        )
     )
     return keys.join(F.broadcast(earlier), "part").select(
-        "timestamp", "id", (F.col("before") + F.col("nth")).alias("position")
+        "timestamp", "id", (F.col("before") + F.col("nth")).alias("position"), "total"
     )
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """All rows' keys with their position in newest-first order, from 0."""
+    return _positions(df).drop("total")
+
+
 def pages(df: DataFrame, limit: int) -> DataFrame:
     """What a complete cursor walk would visit: one row per page with its edges."""
-    edge = F.struct("timestamp", "id")
-    return (
-        numbered(df)
-        .groupBy(F.floor(F.col("position") / limit).alias("page"))
-        .agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.max(edge).alias("newest"),
-            F.min(edge).alias("oldest"),
-        )
-        .select(
-            "page",
-            "rows",
-            format_iso(F.col("newest.timestamp")).alias("first_timestamp"),
-            F.col("newest.id").alias("first_id"),
-            format_iso(F.col("oldest.timestamp")).alias("last_timestamp"),
-            F.col("oldest.id").alias("last_id"),
-        )
+    position, total = F.col("position"), F.col("total")
+    page, place = F.floor(position / limit), position % limit
+    is_first, is_last = place == 0, (place == limit - 1) | (position == total - 1)
+    # Two rows of every page tell all about it; the others are not shuffled.
+    edges = _positions(df).where(is_first | is_last)
+
+    def of(edge: Column, value: Column) -> Column:
+        return F.max(F.when(edge, value))
+
+    iso = format_iso(F.col("timestamp"))
+    return edges.groupBy(page.alias("page")).agg(
+        F.least(F.lit(limit), F.max(total) - F.min(position)).cast("bigint").alias("rows"),
+        of(is_first, iso).alias("first_timestamp"),
+        of(is_first, F.col("id")).alias("first_id"),
+        of(is_last, iso).alias("last_timestamp"),
+        of(is_last, F.col("id")).alias("last_id"),
     )

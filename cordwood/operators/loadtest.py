@@ -195,6 +195,26 @@ def limitation(
     )
 
 
+def limitation_reason(
+    limited_by: Column,
+    target: Column,
+    achieved: Column,
+    dropped: Column,
+    error_rate: Column,
+    p95: Column,
+) -> Column:
+    """What the classification rests on, in words."""
+    # The three texts.
+    service = "Service degradation: errorRate=%.2f%%, p95=%.2fms"
+    generator = "Generator constraint: %d dropped iterations, throughput=%.1f/%d logs/s"
+    nominal = "Nominal performance within target thresholds"
+    return (
+        F.when(limited_by == "service", F.format_string(service, error_rate * 100, p95))
+        .when(limited_by == "generator", F.format_string(generator, dropped, achieved, target))
+        .otherwise(nominal)
+    )
+
+
 def scenario_results(samples: DataFrame, rollup: DataFrame | None = None) -> DataFrame:
     """Per scenario: rates, latencies, who limited it, whether it held its threshold, its status.
 
@@ -224,6 +244,17 @@ def scenario_results(samples: DataFrame, rollup: DataFrame | None = None) -> Dat
     )
     return (
         base.withColumn("limited_by", limited)
+        .withColumn(
+            "limit_reason",
+            limitation_reason(
+                F.col("limited_by"),
+                offered,
+                achieved,
+                F.col("dropped_iterations"),
+                errors,
+                F.col("latency_p95_ms"),
+            ),
+        )
         .withColumn("threshold_passed", passed)
         .withColumn("status", status)
     )

@@ -617,14 +617,14 @@ FROM (SELECT run_id, scenario, CAST(sum(accepted) AS BIGINT) AS accepted_records
     "FROM seeded GROUP BY 1",
     "seed_uniform": UNIFORM_SQL,
     "seed_load_shape": LOAD_SQL,
-    "stream_ingest_logs": ACCEPTED_ROWS,
+    "stream_ingest": ACCEPTED_ROWS,
     "stream_ingest_rejects": REJECTED_ROWS,
     "stream_ingest_receipts": RECEIPTS,
     "stream_rollup": _ctes(ENTRIES, ACCEPTED)
     + f'SELECT {FLOORS["5m"]} AS start, level AS "group", count(*) AS count '
     f"FROM accepted WHERE {ROLLUP_WHERE} GROUP BY 1, 2",
     "stream_bucket_counts": _count("1h", "service"),
-    "stream_drop_redelivered": _ctes(EVENT_LOGS, VISIBLE)
+    "stream_dedup": _ctes(EVENT_LOGS, VISIBLE)
     + "SELECT id, timestamp, level, service, message, attr_k, attr_user_id "
     "FROM copies WHERE visible > 0",
 }

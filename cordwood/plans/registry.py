@@ -20,8 +20,8 @@ from cordwood.session import configure, scratch_path
 from cordwood.sources import generators, readers, sample_tables
 from cordwood.sources.log_table import LogStore, LogTable, retained
 from cordwood.streaming import buckets as stream_buckets
-from cordwood.streaming import dedup as stream_dedup
-from cordwood.streaming import ingest as stream_ingest
+from cordwood.streaming.dedup import drop_redelivered
+from cordwood.streaming.ingest import start_ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -616,7 +616,7 @@ def _streamed_store(spark, sf_dir) -> LogStore:
     arrivals, root = scratch_path(spark, "arrivals"), scratch_path(spark, "store")
     sample_tables.event_envelopes(spark, sf_dir).write.json(arrivals)
     store = LogStore(spark, root)
-    running = stream_ingest.start_ingest(
+    running = start_ingest(
         readers.stream_envelopes(spark, arrivals), store, scratch_path(spark, "progress")
     )
     running.awaitTermination()
@@ -624,7 +624,7 @@ def _streamed_store(spark, sf_dir) -> LogStore:
 
 
 @query
-def stream_ingest_logs(spark, sf_dir):
+def stream_ingest(spark, sf_dir):
     return flat(_streamed_store(spark, sf_dir).logs.read(), *ATTRIBUTE_KEYS)
 
 
@@ -664,14 +664,14 @@ def stream_bucket_counts(spark, sf_dir):
 
 
 @query
-def stream_drop_redelivered(spark, sf_dir):
+def stream_dedup(spark, sf_dir):
     """Rows of which some arrive twice, through the streaming filter."""
     arrivals, out = scratch_path(spark, "arrivals"), scratch_path(spark, "distinct")
     sample_tables.visible_logs(spark, sf_dir).withColumn(
         "received_at", F.col("timestamp")
     ).write.parquet(arrivals)
     schema = spark.read.parquet(arrivals).schema
-    once = stream_dedup.drop_redelivered(spark.readStream.schema(schema).parquet(arrivals))
+    once = drop_redelivered(spark.readStream.schema(schema).parquet(arrivals))
     (
         once.writeStream.format("parquet")
         .option("path", out)

@@ -153,6 +153,7 @@ def test_status_and_breakpoint(spark):
 def test_generator_limited_run_completes(spark):
     row = loadtest.scenario_results(spark.createDataFrame([sample(dropped=20)], SAMPLE)).first()
     assert (row["limited_by"], row["status"], row["requests_lost"]) == ("generator", "completed", 2000)
+    assert row["limit_reason"] == "Generator constraint: 20 dropped iterations, throughput=0.8/15000 logs/s"
 
 
 def test_consistency_takes_either_proof(spark):
