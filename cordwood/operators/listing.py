@@ -22,8 +22,8 @@ def newest_first() -> list[Column]:
     return [F.col("timestamp").desc(), F.col("id").desc()]
 
 
-# Plans that read less than this, about ten tasks, merge the newest rows of all tasks in one step.
-DIRECT_BYTES = 1 << 30
+# Plans that read less than this, about one task's input, take the newest rows in one step.
+DIRECT_BYTES = 128 << 20
 LANES = 512
 
 

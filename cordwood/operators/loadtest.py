@@ -7,7 +7,9 @@ scenario or phase.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,21 +45,39 @@ def _per_second(count: Column, seconds: Column) -> Column:
     return count / F.greatest(F.lit(1), seconds)
 
 
-def phase_plan(spark: SparkSession) -> DataFrame:
-    """The eleven planned phases; its size is fixed above, so it is always broadcast."""
-    rows = [
-        F.struct(
-            F.lit(scenario).alias("scenario"),
-            F.lit(number).alias("phase_number"),
-            F.lit(phase).alias("phase"),
-            F.lit(target).alias("target"),
-            F.lit(seconds).alias("seconds"),
-            F.lit(LATENCY_MS[scenario]).alias("latency_limit"),
+@dataclass(frozen=True)
+class LoadPlan:
+    """The planned phases, shortened by ``scale``; ``load_rate`` is what the load scenario offers."""
+
+    scale: float = 1.0
+    load_rate: int = 15000
+
+    def phases(self, spark: SparkSession) -> DataFrame:
+        """Eleven rows; as their number is fixed above, they are always broadcast."""
+        rows = [
+            F.struct(
+                F.lit(scenario).alias("scenario"),
+                F.lit(number).alias("phase_number"),
+                F.lit(phase).alias("phase"),
+                F.lit(self.load_rate if scenario == "load" else target).alias("target"),
+                F.lit(max(2, math.floor(seconds * self.scale + 0.5))).alias("seconds"),
+                F.lit(LATENCY_MS[scenario]).alias("latency_limit"),
+            )
+            for scenario, phases in PHASES.items()
+            for number, (phase, target, seconds) in enumerate(phases)
+        ]
+        return spark.range(1).select(F.inline(F.array(*rows)))
+
+    def scenarios(self, spark: SparkSession) -> DataFrame:
+        return (
+            self.phases(spark)
+            .groupBy("scenario")
+            .agg(
+                F.sum("seconds").alias("seconds"),
+                weighted_mean(F.col("target"), F.col("seconds")).alias("offered"),
+                F.max("latency_limit").alias("latency_limit"),
+            )
         )
-        for scenario, phases in PHASES.items()
-        for number, (phase, target, seconds) in enumerate(phases)
-    ]
-    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def weighted_mean(rate: Column, seconds: Column) -> Column:
@@ -65,18 +85,6 @@ def weighted_mean(rate: Column, seconds: Column) -> Column:
     return F.round(F.sum(rate * seconds) / F.sum(seconds)).cast("bigint")
 
 
-def scenario_plan(spark: SparkSession) -> DataFrame:
-    return (
-        phase_plan(spark)
-        .groupBy("scenario")
-        .agg(
-            F.sum("seconds").alias("seconds"),
-            weighted_mean(F.col("target"), F.col("seconds")).alias("offered"),
-            F.max("latency_limit").alias("latency_limit"),
-        )
-    )
-
-
 TOTALS = (
     "requests",
     "accepted_records",
@@ -144,15 +152,15 @@ def approximate_p95(samples: DataFrame, keys: Sequence[str], accuracy: int = 10_
     )
 
 
-def throughput(rollup: DataFrame) -> DataFrame:
+def throughput(rollup: DataFrame, plan: LoadPlan = LoadPlan()) -> DataFrame:
     """Per scenario of a rollup: achieved rate from accepted records, error shares, requests lost.
 
     The offered rate stands beside the achieved one and never in its place.
     """
     totals = scenario_totals(rollup)
-    plan = scenario_plan(rollup.sparkSession)
+    scenarios = plan.scenarios(rollup.sparkSession)
     requests = F.col("requests")
-    return totals.join(F.broadcast(plan), "scenario").select(
+    return totals.join(F.broadcast(scenarios), "scenario", "left").select(
         *SCENARIO_KEYS,
         F.col("offered").alias("offered_logs_per_second"),
         F.round(_per_second(F.col("accepted_records"), F.col("seconds")), 4).alias(
@@ -215,12 +223,14 @@ def limitation_reason(
     )
 
 
-def scenario_results(samples: DataFrame, rollup: DataFrame | None = None) -> DataFrame:
+def scenario_results(
+    samples: DataFrame, rollup: DataFrame | None = None, plan: LoadPlan = LoadPlan()
+) -> DataFrame:
     """Per scenario: rates, latencies, who limited it, whether it held its threshold, its status.
 
     ``rollup`` is ``request_rollup`` of the samples where the caller has it already.
     """
-    totals = throughput(request_rollup(samples) if rollup is None else rollup)
+    totals = throughput(request_rollup(samples) if rollup is None else rollup, plan)
     base = totals.join(latency_p95(samples), list(SCENARIO_KEYS))
     offered, achieved = F.col("offered_logs_per_second"), F.col("logs_per_second")
     errors = F.col("error_rate")
@@ -260,14 +270,14 @@ def scenario_results(samples: DataFrame, rollup: DataFrame | None = None) -> Dat
     )
 
 
-def phase_results(samples: DataFrame) -> DataFrame:
+def phase_results(samples: DataFrame, plan: LoadPlan = LoadPlan()) -> DataFrame:
     """Per planned phase of every scenario that ran; a phase without samples achieved nothing."""
     # Written once: the samples are not read again for the phases.
     rollup = small_side(request_rollup(samples))
-    scenarios = scenario_results(samples, rollup).select(
+    scenarios = scenario_results(samples, rollup, plan).select(
         *SCENARIO_KEYS, "dropped_iterations", "error_rate", "latency_p95_ms"
     )
-    planned = scenarios.join(F.broadcast(phase_plan(samples.sparkSession)), "scenario")
+    planned = scenarios.join(F.broadcast(plan.phases(samples.sparkSession)), "scenario")
     accepted = rollup.select(*PHASE_KEYS, "accepted_records")
     achieved = _per_second(F.col("accepted_records"), F.col("seconds"))
     limited = limitation(

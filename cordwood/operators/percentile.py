@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,15 +53,17 @@ def exact_percentile(
             F.max("v").alias("most"),
         )
         .select(
-            *keys,
+            *[F.col(key).alias(f"b_{key}") for key in keys],
             "n",
             F.when(few, F.col("least")).otherwise(F.col("ends")[0]).alias("lo"),
             F.when(few, F.col("most")).otherwise(F.col("ends")[1]).alias("hi"),
         )
     )
     # NULL stands for everything below the bracket and sorts first.
+    # Keys may be NULL.
+    same = reduce(and_, [F.col(key).eqNullSafe(F.col(f"b_{key}")) for key in keys], F.lit(True))
     counted = (
-        rows.join(brackets, keys)
+        rows.join(brackets, same)
         .where(F.col("v") <= F.col("hi"))
         .groupBy(*keys, "n", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v"))
         .agg(F.count(F.lit(1)).alias("copies"))

@@ -292,10 +292,10 @@ ROLLUP_RANGE = {
 
 @query
 def agg_from_rollup(spark, sf_dir):
-    logs = sample_tables.event_logs(spark, sf_dir)
-    return buckets.bucket_counts_from_rollup(
-        buckets.minute_rollup(logs), logs, BucketQuery.parse(ROLLUP_RANGE)
-    )
+    asked = BucketQuery.parse(ROLLUP_RANGE)
+    logs = sample_tables.event_logs(spark, sf_dir, asked.since, asked.until)
+    rollup = buckets.minute_rollup(sample_tables.event_logs(spark, sf_dir))
+    return buckets.bucket_counts_from_rollup(rollup, logs, asked)
 
 
 # --- ingest -------------------------------------------------------------------------------------

@@ -173,7 +173,9 @@ class LogStore:
     def load(self, df: DataFrame, batch: str) -> None:
         """Bulk load that keeps the rollup in step; loading a batch again replaces it."""
         self.logs.load(df, batch)
-        self.rollup.write(minute_rollup(df), batch)
+        # From the stored rows: three columns to read, where ``df`` may be costly to work out again.
+        stored = self.logs.read().where(F.col("batch") == batch)
+        self.rollup.write(minute_rollup(stored), batch)
 
     def expire(self, now: datetime, keep: timedelta = RETENTION) -> list[date]:
         """Drop the days past the limit from all tables; the days dropped from the logs."""

@@ -73,6 +73,7 @@ def test_percentile_equals_numpy(spark, accuracy):
         "ties": np.array([5.0] * 900 + [7.0] * 100),
         "tail": rng.lognormal(3, 2, 5000),
         "negative": rng.normal(-10, 5, 777),
+        None: np.array([4.0, 8.0, 9.0]),
     }
     df = spark.createDataFrame(
         [(name, float(v)) for name, values in groups.items() for v in values], "g string, v double"
@@ -128,8 +129,14 @@ def test_limitation(spark, achieved, dropped, errors, p95, expected):
 
 
 def test_offered_rates(spark):
-    rows = {r["scenario"]: r["offered"] for r in loadtest.scenario_plan(spark).collect()}
-    assert rows == {"load": 15000, "stress": 24000, "spike": 9750, "breakpoint": 28125}
+    def offered(plan):
+        return {r["scenario"]: (r["offered"], r["seconds"]) for r in plan.scenarios(spark).collect()}
+
+    assert offered(loadtest.LoadPlan()) == {
+        "load": (15000, 120), "stress": (24000, 150), "spike": (9750, 100), "breakpoint": (28125, 120),
+    }
+    quick = offered(loadtest.LoadPlan(scale=0.1, load_rate=500))
+    assert quick["load"] == (500, 12) and quick["spike"] == (11591, 11)
 
 
 def test_status_and_breakpoint(spark):
