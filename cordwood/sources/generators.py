@@ -111,7 +111,8 @@ def _below(uniform: Column, bound: int) -> Column:
 
 
 def _row_id(kind: str, seed: int) -> Column:
-    return uuid_shape(F.sha2(F.concat_ws(":", F.lit(kind), F.lit(str(seed)), F.col("row").cast("string")), 256))
+    name = F.concat_ws(":", F.lit(kind), F.lit(str(seed)), F.col("row").cast("string"))
+    return uuid_shape(F.sha2(name, 256))
 
 
 def seeded_logs(rows: DataFrame, now: datetime, seed: int = SEED, days: int = 30) -> DataFrame:
@@ -148,7 +149,6 @@ def uniform_logs(rows: DataFrame, seed: int = SEED) -> DataFrame:
     draws = ("service", "level", "offset", "message", "user", "region", "retries")
     drawn = with_draws(rows, seed, F.col("row"), draws)
     start, end = _millis(UNIFORM_START), _millis(UNIFORM_END)
-    request = uuid_shape(F.sha2(F.concat_ws(":", F.lit("request"), F.lit(str(seed)), F.col("row").cast("string")), 256))
     return drawn.select(
         "row",
         _row_id("uniform", seed).alias("id"),
@@ -158,7 +158,7 @@ def uniform_logs(rows: DataFrame, seed: int = SEED) -> DataFrame:
         pick(UNIFORM.messages, F.col("message")).alias("message"),
         F.create_map(
             F.lit("user_id"), _below(F.col("user"), 100_000).cast("string"),
-            F.lit("request_id"), request,
+            F.lit("request_id"), _row_id("request", seed),
             F.lit("region"), pick(UNIFORM.regions, F.col("region")),
             F.lit("retries"), _below(F.col("retries"), 4).cast("string"),
         ).alias("attributes"),

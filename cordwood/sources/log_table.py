@@ -62,8 +62,15 @@ class DayTable:
         return self.spark.read.schema(schema).option("basePath", self.path).parquet(*folders)
 
     def write(self, df: DataFrame, batch: str) -> None:
-        """Write one batch as it is partitioned: every task writes its own files per day."""
-        self._save(self._with_day(df, batch))
+        """Write one batch in few files, however many tasks made it.
+
+        The rebalance hint gathers each day and lets the adaptive planner split a day that is too
+        big for one task, without the extra pass that sampling a range costs.
+        """
+        self._save(self._gathered(df, batch))
+
+    def _gathered(self, df: DataFrame, batch: str) -> DataFrame:
+        return self._with_day(df, batch).hint("rebalance", "dt")
 
     def _with_day(self, df: DataFrame, batch: str) -> DataFrame:
         return df.select(*self.schema.fieldNames()).withColumns(
@@ -138,13 +145,9 @@ class LogTable(DayTable):
         self._save(spread.sortWithinPartitions(*keys))
 
     def append(self, df: DataFrame, batch: str) -> None:
-        """Write one micro-batch, whose rows mostly lie close in time already.
-
-        The rebalance hint gathers each day into few files and lets the adaptive planner split a
-        day that is too big for one task, without the extra pass that sampling a range costs.
-        """
-        rows = self._with_day(df, batch).hint("rebalance", "dt")
-        self._save(rows.sortWithinPartitions("dt", "timestamp", "id"))
+        """Write one micro-batch, whose rows mostly lie close in time already, in sorted files."""
+        keys = ["dt", "timestamp", "id"]
+        self._save(self._gathered(df, batch).sortWithinPartitions(*keys))
 
     def expire(self, now: datetime, keep: timedelta = RETENTION) -> list[date]:
         """Drop the days that lie wholly before the retention limit."""
