@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cordwood.llm import ngram_join, quality, toxicity
+from cordwood.llm import byte_bpe, ngram_join, quality, toxicity
 from cordwood.llm.common import table
 
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents by the Jaccard similarity of their 4-word shingles."""
@@ -31,10 +34,19 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, counted and digested, and decoded again."""
+    encoded = byte_bpe.encode_texts(
+        table(spark, sf_dir, "documents", "doc_id", "text"), BYTE_BPE, public_tokenizers.PATTERN
+    )
+    return byte_bpe.decode_ids(encoded, BYTE_BPE)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_toxicity": op6_toxicity,
     "op7_quality": op7_quality,
+    "op8_byte_bpe": op8_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
