@@ -22,6 +22,7 @@ import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 # Pre-tokens a task remembers, and the longest one it remembers.
 CACHED_TOKENS = 200_000
@@ -203,27 +204,31 @@ def decoder(ranks: dict[bytes, int]) -> Callable[[bytes], bytes]:
     return decode
 
 
-def encode_texts(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """``(doc_id, token_ids)``, the ids of each whole text as an array, in the order of ``docs``.
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """All rows and columns of ``docs`` with ``token_ids``, the ids of each whole ``text``.
 
-    Only doc_id and text are read. A null or empty text has no ids; a repeated row is encoded
-    again. Ids are those of the merge ranks, without special tokens: their strings are plain text.
+    ``docs`` may have any columns but that one. A null or empty text has no ids; a repeated row is
+    encoded again. Ids are those of the merge ranks, without special tokens: their strings are
+    plain text.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Tokenizer(read_ranks(ranks_path), pattern))
+    columns = docs.columns
+    place = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(shared.value)
         for batch in batches:
             for part in _bounded(batch):
-                ids = [encode(text.as_py() or "") for text in part.column(1)]
+                ids = [encode(text.as_py() or "") for text in part.column(place)]
                 ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
                 values = np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))],
-                    names=["doc_id", "token_ids"],
+                    [*part.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(values))],
+                    names=[*columns, "token_ids"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, token_ids array<int>")
+    schema = StructType([*docs.schema.fields, StructField("token_ids", ArrayType(IntegerType()))])
+    return docs.mapInArrow(run, schema)
 
 
 def _bounded(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
@@ -232,7 +237,7 @@ def _bounded(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]
 
 
 def decode_ids(encoded: DataFrame, ranks_path: str) -> DataFrame:
-    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of rows of ``encode_texts``.
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of rows of ``encode_documents``.
 
     Digests are lowercase hex: of the ids as little-endian 32-bit integers, and of the bytes that
     the ids stand for.

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from cordwood.llm.common import Scratch, held_out
 from cordwood.llm.shingles import text_bytes
@@ -252,7 +253,9 @@ def _interpolate(weights: np.ndarray, settings: Settings) -> np.ndarray:
 
 
 def score(docs: DataFrame, model: Model, extract: Extractor) -> DataFrame:
-    """``(doc_id, score)`` for every row of ``docs``; a null text scores as an empty one."""
+    """All rows and columns of ``docs`` with a ``score``; a null text scores as an empty one."""
+    columns = docs.columns
+    place = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = np.zeros(1 << HASH_BITS, bool)
@@ -261,12 +264,14 @@ def score(docs: DataFrame, model: Model, extract: Extractor) -> DataFrame:
         weights[model.features] = model.weights
         for batch in batches:
             margins = np.fromiter(
-                (weights[x].sum() for x in text_features(batch.column(1), extract, keep)),
+                (weights[x].sum() for x in text_features(batch.column(place), extract, keep)),
                 float,
                 batch.num_rows,
             )
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(model.scores(margins + model.bias))], names=["doc_id", "score"]
+                [*batch.columns, pa.array(model.scores(margins + model.bias))],
+                names=[*columns, "score"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
+    return docs.mapInArrow(run, schema)

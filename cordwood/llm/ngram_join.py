@@ -51,8 +51,14 @@ def _describe(words: int, share: float):
                 first.append(int(np.searchsorted(hashes, limit)))
                 nodes.append(set_fingerprint(hashes) if len(hashes) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(nodes, pa.int64())],
-                names=["doc_id", "n_shingles", "n_first", "node"],
+                [
+                    batch.column(0),
+                    batch.column(2),
+                    pa.array(sizes, pa.int64()),
+                    pa.array(first, pa.int64()),
+                    pa.array(nodes, pa.int64()),
+                ],
+                names=["doc_id", "text_key", "n_shingles", "n_first", "node"],
             )
 
     return run
@@ -266,7 +272,8 @@ def jaccard_components(
     than ``words`` words is one n-gram; a null or blank one has none and links with nothing.
 
     Returns a row per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id`` (the smallest
-    doc_id of the component, the own one included). Only ``doc_id`` and ``text`` are read. Rows are
+    doc_id of the component, the own one included), ``component`` (a hash that names it, null
+    without words) and ``text_key`` (xxhash64 of the text). Only ``doc_id`` and ``text`` are read. Rows are
     told apart by their texts: a repeated id gives a row each time, and rows without an id link
     like all others but name no component; if no row of a component has an id, its component_id is
     null. Hashes have 64 bits; two different sets are taken for equal with odds of 2**-64.
@@ -275,8 +282,9 @@ def jaccard_components(
     scratch = Scratch(spark, "ngram-join")
     texts = docs.select("doc_id", "text")
     described = scratch.store(
-        texts.mapInArrow(
-            _describe(words, first_share), "doc_id long, n_shingles long, n_first long, node long"
+        texts.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(
+            _describe(words, first_share),
+            "doc_id long, text_key long, n_shingles long, n_first long, node long",
         ),
         "described",
     )
@@ -385,13 +393,43 @@ def jaccard_components(
         .groupBy("root")
         .agg(F.min("doc_id").alias("component_id"))
     )
-    of_class = (
-        classes.select("node", "doc_id")
-        .join(named.join(smallest, "root").select("node", "component_id"), "node", "left")
-        .select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
+    of_class = classes.select("node", "doc_id").join(
+        named.join(smallest, "root").select("node", "component_id", "root"), "node", "left"
+    ).select(
+        "node",
+        F.coalesce("component_id", "doc_id").alias("component_id"),
+        F.coalesce("root", "node").alias("component"),
     )
     return described.join(of_class, "node", "left").select(
         "doc_id",
         "n_shingles",
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        "component",
+        "text_key",
+    )
+
+
+def keep_one(docs: DataFrame, linked: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without all but one of each component of ``linked``.
+
+    What stays is the row with the smallest id, and of equal ids the one whose text hash is
+    smallest; a row that repeats it goes. Documents without words link with nothing and all stay.
+    """
+    member = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
+    rows = linked.where("component is not null").groupBy("component", member.alias("member")).count()
+    first = rows.groupBy("component").agg(F.min_by(F.struct("member", "count"), "member").alias("first"))
+    kept = first.select("first.member.doc_id", "first.member.text_key", F.col("first.count").alias("copies"))
+    wordless = linked.where("component is null").select("doc_id", "text_key").distinct()
+    kept = Scratch(docs.sparkSession, "keep-one").store(
+        kept.unionByName(wordless.select("doc_id", "text_key", F.lit(0).cast("long").alias("copies"))), "kept"
     )
+    keyed = docs.withColumn("text_key", F.xxhash64("text"))
+
+    def named(which: DataFrame) -> DataFrame:
+        which = maybe_broadcast(which, which.count())
+        same = keyed["doc_id"].eqNullSafe(which["doc_id"]) & (keyed["text_key"] == which["text_key"])
+        return keyed.join(which, same, "left_semi")
+
+    single = named(kept.where("copies < 2"))
+    repeated = named(kept.where("copies > 1")).dropDuplicates(["doc_id", "text_key"])
+    return single.unionByName(repeated).drop("text_key")

@@ -73,21 +73,26 @@ def word_ngrams(
     return texts, hashed
 
 
-def quality_scores(
-    docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), threshold: float = THRESHOLD
+def judge_quality(
+    docs: DataFrame,
+    learnt_from: DataFrame,
+    labels: DataFrame,
+    settings: Settings = Settings(),
+    threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """Score all ``docs`` for ``labels.quality``.
+    """All rows and columns of ``docs`` with their ``score`` and ``predicted``.
 
-    Returns a row per row of ``docs``: doc_id, held_out (false without an id), score, predicted.
-    Only doc_id and text are read. Null and empty texts score alike; a repeated id gives a row each
-    time. Labels are learnt from at most ``settings.per_class`` rows of each class that are not
-    held out; null labels and labels without a document teach nothing.
+    ``labels.quality`` of the documents ``learnt_from`` is learnt from at most
+    ``settings.per_class`` rows of each class that are not held out; null labels and labels without
+    a document teach nothing. ``docs`` may have any columns but these two; only ``text`` is read.
+    Null and empty texts score alike; a repeated row is scored again.
     """
-    model = fit(docs, labels, "quality", word_ngrams, settings)
-    scored = score(docs, model, word_ngrams)
-    return scored.select(
-        "doc_id",
-        held_out("doc_id").alias("held_out"),
-        "score",
-        (F.col("score") >= threshold).cast("int").alias("predicted"),
-    )
+    model = fit(learnt_from, labels, "quality", word_ngrams, settings)
+    judged = (F.col("score") >= threshold).cast("int").alias("predicted")
+    return score(docs, model, word_ngrams).select("*", judged)
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Scores of all ``docs``: doc_id, held_out (false without an id), score, predicted."""
+    judged = judge_quality(docs.select("doc_id", "text"), docs, labels)
+    return judged.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")

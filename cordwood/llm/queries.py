@@ -7,15 +7,28 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cordwood.llm import byte_bpe, ngram_join, quality, toxicity
+from cordwood.llm import byte_bpe, decontaminate, ngram_join, quality, toxicity
 from cordwood.llm.common import table
+from cordwood.llm.oracle import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that repeat a passage of the benchmark, with the item and the similarity."""
+    found = decontaminate.contaminated(
+        table(spark, sf_dir, "documents", "doc_id", "text"),
+        table(spark, sf_dir, "benchmark", "item_id", "text"),
+    )
+    return found.select("doc_id", "item_id", "similarity", "start_word")
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents by the Jaccard similarity of their 4-word shingles."""
-    return ngram_join.jaccard_components(table(spark, sf_dir, "documents", "doc_id", "text"))
+    linked = ngram_join.jaccard_components(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return linked.select("doc_id", "n_shingles", "component_id")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,17 +49,16 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, counted and digested, and decoded again."""
-    encoded = byte_bpe.encode_texts(
+    encoded = byte_bpe.encode_documents(
         table(spark, sf_dir, "documents", "doc_id", "text"), BYTE_BPE, public_tokenizers.PATTERN
     )
     return byte_bpe.decode_ids(encoded, BYTE_BPE)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_toxicity": op6_toxicity,
     "op7_quality": op7_quality,
     "op8_byte_bpe": op8_byte_bpe,
 }
-
-ORACLE_SQL: dict[str, str] = {}
