@@ -7,12 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cordwood.llm import byte_bpe, decontaminate, ngram_join, quality, toxicity
+from cordwood.llm import byte_bpe, chat_format, decontaminate, ngram_join, quality, sharding, toxicity
 from cordwood.llm.common import table
 from cordwood.llm.oracle import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
+SHARDS = 24
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -25,6 +27,19 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "similarity", "start_word")
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of equal weight by rendezvous hashing of their ids."""
+    return sharding.shard_documents(table(spark, sf_dir, "documents", "doc_id", "text"), [1.0] * SHARDS)
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one that is full of control strings, formatted and read back."""
+    said = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    control = spark.createDataFrame([(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], said.schema)
+    turns = chat_format.turns_of_rows(said.unionByName(control))
+    return chat_format.read_back(chat_format.format_turns(turns))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents by the Jaccard similarity of their 4-word shingles."""
     linked = ngram_join.jaccard_components(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -57,6 +72,8 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op3_sharding": op3_sharding,
+    "op4_chat_format": op4_chat_format,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_toxicity": op6_toxicity,
     "op7_quality": op7_quality,
