@@ -100,15 +100,19 @@ class Tokenizer:
         self.ids = list(ranks.values())
         self.whole = PerfectHash(self.tokens)
         self.pattern = pattern
-        self._remembered: _Remembered | None = None
+        self._remembered: dict | None = None
 
     def __getstate__(self) -> dict:
         return {**self.__dict__, "_remembered": None}
 
-    def remembered(self) -> _Remembered:
+    def _packed(self, text: str) -> bytes:
+        found = self.encode_piece(text.encode())
+        return struct.pack(f"<{len(found)}I", *found)
+
+    def remembered(self) -> Remembered:
         """The cache of this process, which lasts from task to task."""
         if self._remembered is None:
-            self._remembered = _Remembered(self)
+            self._remembered = Remembered(self._packed)
         return self._remembered
 
     def rank(self, key: bytes) -> int | None:
@@ -154,22 +158,21 @@ class Tokenizer:
         return [rank] if rank is not None else self.merge(piece)
 
 
-class _Remembered(dict):
-    """Pre-token to its ids as little-endian 32-bit bytes.
+class Remembered(dict):
+    """Piece of text to its packed ids, computed when first asked for.
 
     When full, it becomes the older half and starts anew; what is met again comes back from there.
     """
 
-    def __init__(self, tokenizer: Tokenizer) -> None:
+    def __init__(self, compute: Callable[[str], bytes]) -> None:
         super().__init__()
-        self.encode_piece = tokenizer.encode_piece
+        self.compute = compute
         self.older: dict[str, bytes] = {}
 
     def __missing__(self, text: str) -> bytes:
         ids = self.older.get(text)
         if ids is None:
-            found = self.encode_piece(text.encode())
-            ids = struct.pack(f"<{len(found)}I", *found)
+            ids = self.compute(text)
         if len(text) <= CACHED_LENGTH:
             if len(self) >= CACHED_TOKENS:
                 self.older = dict(self)

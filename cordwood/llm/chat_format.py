@@ -162,7 +162,7 @@ def turns_of_rows(df: DataFrame) -> DataFrame:
     rows = df.select(
         conversation.alias("conv_id"),
         order.alias("turn"),
-        _role(role).alias("role"),
+        F.coalesce(role, F.lit("")).alias("role"),  # as the table has it
         F.coalesce(text, F.lit("")).alias("text"),
     )
     place = "row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1"

@@ -7,7 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cordwood.llm import byte_bpe, chat_format, decontaminate, ngram_join, quality, sharding, toxicity
+from cordwood.llm import (
+    byte_bpe,
+    chat_format,
+    decontaminate,
+    ngram_join,
+    quality,
+    records,
+    sharding,
+    toxicity,
+)
 from cordwood.llm.common import table
 from cordwood.llm.oracle import ORACLE_SQL
 
@@ -15,6 +24,8 @@ __all__ = ["ORACLE_SQL", "QUERIES"]
 
 SHARDS = 24
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
+END_ID = 2
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -70,6 +81,13 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.decode_ids(encoded, BYTE_BPE)
 
 
+def op9_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents in record files, in the order of their ids, read back."""
+    return records.token_positions(
+        table(spark, sf_dir, "documents", "doc_id", "text"), WORD_BPE, END_ID
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op3_sharding": op3_sharding,
@@ -78,4 +96,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_quality": op7_quality,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_records": op9_records,
 }
