@@ -11,6 +11,7 @@ from cordwood.llm import (
     byte_bpe,
     chat_format,
     decontaminate,
+    html_template,
     ngram_join,
     quality,
     records,
@@ -38,6 +39,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "similarity", "start_word")
 
 
+def op2_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return html_template.main_texts(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of equal weight by rendezvous hashing of their ids."""
     return sharding.shard_documents(table(spark, sf_dir, "documents", "doc_id", "text"), [1.0] * SHARDS)
@@ -90,6 +96,7 @@ def op9_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_html_template": op2_html_template,
     "op3_sharding": op3_sharding,
     "op4_chat_format": op4_chat_format,
     "op5_ngram_jaccard": op5_ngram_jaccard,
