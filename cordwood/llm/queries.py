@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cordwood.llm import (
     byte_bpe,
+    cap_filters,
     chat_format,
     decontaminate,
     html_template,
@@ -94,6 +95,13 @@ def op9_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings by cosine within their label."""
+    return cap_filters.near_duplicates(
+        table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_html_template": op2_html_template,
@@ -104,4 +112,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality": op7_quality,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_records": op9_records,
+    "op10_cap_filters": op10_cap_filters,
 }
