@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 # Pre-tokens a task remembers, and the longest one it remembers.
-CACHED_TOKENS = 200_000
+CACHED_TOKENS = 80_000
 CACHED_LENGTH = 64
 LONG_TEXT = 1_000_000
 

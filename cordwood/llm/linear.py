@@ -20,7 +20,7 @@ from cordwood.llm.common import Scratch, held_out
 from cordwood.llm.shingles import text_bytes
 
 HASH_BITS = 20
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 # Bytes that two pieces of one long text share, so that no n-gram is lost at the cut.
 OVERLAP_BYTES = 256
 
