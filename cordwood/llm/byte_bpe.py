@@ -164,9 +164,10 @@ class Remembered(dict):
     When full, it becomes the older half and starts anew; what is met again comes back from there.
     """
 
-    def __init__(self, compute: Callable[[str], bytes]) -> None:
+    def __init__(self, compute: Callable[[str], bytes], limit: int = CACHED_TOKENS) -> None:
         super().__init__()
         self.compute = compute
+        self.limit = limit
         self.older: dict[str, bytes] = {}
 
     def __missing__(self, text: str) -> bytes:
@@ -174,7 +175,7 @@ class Remembered(dict):
         if ids is None:
             ids = self.compute(text)
         if len(text) <= CACHED_LENGTH:
-            if len(self) >= CACHED_TOKENS:
+            if len(self) >= self.limit:
                 self.older = dict(self)
                 self.clear()
             self[text] = ids

@@ -13,6 +13,7 @@ of a task; a file that the index does not name was left by an attempt that faile
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -30,8 +31,11 @@ from cordwood.llm.common import Scratch
 
 FILE_BYTES = 64 << 20
 _MASK = 0xA282EAD8  # fixed value of the record format
+# Words that a task remembers.
+CACHED_WORDS = 300_000
 # Information separators: Python splits words at them, the tokeniser does not.
-_ODD = set(map(chr, range(0x1C, 0x20)))
+_ODD = re.compile("[\x1c-\x1f]")
+_MARKS = ".,!?;:*%#$&|"
 
 INDEX = "part int, file string, place long, doc_id long, at long, n_tokens long"
 
@@ -58,11 +62,33 @@ def unframe(head: bytes, rest: bytes) -> bytes:
     return payload
 
 
-_encoders: dict[str, Remembered] = {}
+class _Words(Remembered):
+    """Words without the marks that follow them, in lower case.
+
+    Marks after a letter are a piece of their own and case is folded, so other words are put
+    together from these and take no place.
+    """
+
+    def __missing__(self, word: str) -> bytes:
+        core = word.rstrip(_MARKS)
+        folded = core.lower()
+        if folded.isalpha():
+            if len(core) < len(word):
+                return self[folded if core.isascii() else core] + self[word[len(core) :]]
+            if folded != core and core.isascii():
+                return self[folded]
+        return super().__missing__(word)
+
+
+_encoders: dict[str, tuple] = {}
 
 
 def word_encoder(definition: str, width: str):
-    """A function from a text to its packed ids, of a tokeniser that never merges across white space."""
+    """A function from a text to its packed ids.
+
+    The tokeniser must fold case, drop white space, and take letters and marks apart, as that of
+    the word vocabulary does; then its ids for a text are those of its words in turn.
+    """
     from tokenizers import Tokenizer
 
     key = f"{zlib.crc32(definition.encode())}-{len(definition)}-{width}"
@@ -70,15 +96,17 @@ def word_encoder(definition: str, width: str):
         tokenizer = Tokenizer.from_str(definition)
         tokenizer.encode_special_tokens = True  # their strings in a text are plain text
 
-        def packed(word: str) -> bytes:
-            return np.array(tokenizer.encode(word, add_special_tokens=False).ids, dtype=width).tobytes()
+        def whole(text: str) -> bytes:
+            ids = tokenizer.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}{'H' if width == '<u2' else 'I'}", *ids)
 
-        _encoders[key] = Remembered(packed)
-    remembered = _encoders[key]
-    look_up, whole = remembered.__getitem__, remembered.compute
+        remembered = _Words(whole, CACHED_WORDS)
+        _encoders[key] = (remembered, whole)
+    remembered, whole = _encoders[key]
+    look_up = remembered.__getitem__
 
     def encode(text: str) -> bytes:
-        if not _ODD.isdisjoint(text):
+        if _ODD.search(text):
             return whole(text)
         return b"".join(map(look_up, text.split()))
 
