@@ -31,8 +31,8 @@ NO_LOGS, MALFORMED = "missing_logs", "malformed_json"
 
 TEXT_FIELDS = ("timestamp", "level", "service", "message")
 
-# Number texts up to this length are at most 15 digits, sign and point, which a double keeps.
-EXACT_LENGTH = 16
+# Number texts up to this length have at most 15 digits, which a double keeps.
+EXACT_LENGTH = 15
 
 # Entries as read from a body: unknown keys are dropped, what is no object becomes NULL.
 ENTRIES = (
@@ -102,7 +102,8 @@ def _type_entries() -> str:
         'attributes_kind', CASE WHEN e.attributes IS NOT NULL THEN 'OBJECT'
                                 ELSE {_kind('e.raw_attributes')} END,
         'bad_attributes', size(filter(map_values(e.attributes),
-                                      a -> NOT {_is_scalar('a.kind')})),
+                                      a -> NOT {_is_scalar('a.kind')}
+                                        OR a.kind = 'DOUBLE' AND a.text LIKE '%Infinity')),
         'attributes', transform_values(e.attributes, (k, a) ->
           CASE WHEN {as_read} THEN a.text
                ELSE {number_text("try_cast(a.text AS DOUBLE)")} END)))"""

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from datetime import datetime, time
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
@@ -15,7 +14,7 @@ from cordwood.operators.filters import select_rows, time_bounds
 from cordwood.plans.params import Cursor, ListingQuery
 from cordwood.schema import LOG_COLUMNS
 from cordwood.session import plan_bytes, shared_dir
-from cordwood.sources.log_table import LogTable
+from cordwood.sources.log_table import LogTable, within_days
 
 
 def newest_first() -> list[Column]:
@@ -111,13 +110,24 @@ def page(source: DataFrame | LogTable, query: ListingQuery) -> Page:
     if isinstance(source, LogTable):
         fetched = _newest_by_day(source, query, wanted)
     else:
-        fetched = top_rows(source, query, wanted).collect()
+        fetched = _collected(top_rows(source, query, wanted))
     kept = fetched[: query.limit]
     if len(fetched) <= query.limit:
         return Page(kept, None)
     return Page(kept, Cursor(kept[-1]["timestamp"], kept[-1]["id"]).encode())
 
 
+def _collected(rows: DataFrame) -> list[Row]:
+    """Rows of a page; the time of a year that Python has no date for stays ISO text."""
+    known = F.when(F.year("timestamp").between(1, 9999), F.col("timestamp"))
+    named = Row(*rows.columns)
+    timed = rows.withColumns({"_text": format_iso(F.col("timestamp")), "timestamp": known})
+    return [
+        named(*(row["_text"] if name == "timestamp" and row[name] is None else row[name] for name in rows.columns))
+        for row in timed.collect()
+    ]
+
+
 def _newest_by_day(table: LogTable, query: ListingQuery, wanted: int) -> list[Row]:
     """Read the newest days first and stop once the page is full.
 
@@ -126,20 +136,12 @@ def _newest_by_day(table: LogTable, query: ListingQuery, wanted: int) -> list[Ro
     that matches nothing costs a handful of jobs rather than one per day.
     """
     first, last = time_bounds(query)
-    days = sorted(
-        (
-            day
-            for day in table.days()
-            if (first is None or day >= first.date()) and (last is None or day <= last.date())
-        ),
-        reverse=True,
-    )
+    days = sorted(within_days(table.days(), first, last), reverse=True)
     found: list[Row] = []
     taken, span = 0, 1
     while taken < len(days) and len(found) < wanted:
-        newest, oldest = days[taken], days[min(taken + span, len(days)) - 1]
-        part = table.scan(*(datetime.combine(day, time.min) for day in (oldest, newest)))
-        found += top_rows(part, query, wanted - len(found)).collect()
+        part = table.scan_days(days[taken : taken + span])
+        found += _collected(top_rows(part, query, wanted - len(found)))
         taken, span = taken + span, span * 2
     return found
 

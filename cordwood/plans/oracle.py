@@ -624,6 +624,8 @@ FROM (SELECT run_id, scenario, CAST(sum(accepted) AS BIGINT) AS accepted_records
     + f'SELECT {FLOORS["5m"]} AS start, level AS "group", count(*) AS count '
     f"FROM accepted WHERE {ROLLUP_WHERE} GROUP BY 1, 2",
     "stream_bucket_counts": _count("1h", "service"),
+    "reload_replaces_batch": f"SELECT * FROM ({EVENT_ROWS}) "
+    "WHERE timestamp >= TIMESTAMP '2024-01-15 00:00:00'",
     "stream_dedup": _ctes(EVENT_LOGS, VISIBLE)
     + "SELECT id, timestamp, level, service, message, attr_k, attr_user_id "
     "FROM copies WHERE visible > 0",

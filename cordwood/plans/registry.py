@@ -20,7 +20,7 @@ from cordwood.session import configure, scratch_path
 from cordwood.sources import generators, readers, sample_tables
 from cordwood.sources.log_table import LogStore, LogTable, retained
 from cordwood.streaming import buckets as stream_buckets
-from cordwood.streaming.dedup import drop_redelivered
+from cordwood.streaming.dedup import start_dedup
 from cordwood.streaming.ingest import start_ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -561,6 +561,19 @@ def loadtest_consistency(spark, sf_dir):
     return loadtest.consistency(loadtest.throughput(loadtest.request_rollup(samples)), visible, reads)
 
 
+RELOAD_FROM = "2024-01-15 00:00:00"
+
+
+@query
+def reload_replaces_batch(spark, sf_dir):
+    """A batch loaded a second time with only the later half of its rows."""
+    events = sample_tables.event_logs(spark, sf_dir)
+    store = LogStore(spark, scratch_path(spark, "store"))
+    store.load(events, "load")
+    store.load(events.where(F.col("timestamp") >= F.lit(RELOAD_FROM).cast("timestamp_ntz")), "load")
+    return flat(store.logs.read(), "k", "user_id")
+
+
 # --- generators ---------------------------------------------------------------------------------
 
 SEED_NOW = datetime(2024, 2, 1)
@@ -614,11 +627,10 @@ def seed_load_shape(spark, sf_dir):
 def _streamed_store(spark, sf_dir) -> LogStore:
     """Event requests written as files, then taken in by a stream that stops when all are read."""
     arrivals, root = scratch_path(spark, "arrivals"), scratch_path(spark, "store")
-    sample_tables.event_envelopes(spark, sf_dir).write.json(arrivals)
+    sample_tables.event_envelopes(spark, sf_dir).repartition(6).write.json(arrivals)
     store = LogStore(spark, root)
-    running = start_ingest(
-        readers.stream_envelopes(spark, arrivals), store, scratch_path(spark, "progress")
-    )
+    arriving = readers.stream_envelopes(spark, arrivals, max_files=1)
+    running = start_ingest(arriving, store, scratch_path(spark, "progress"))
     running.awaitTermination()
     return store
 
@@ -650,9 +662,10 @@ def stream_rollup(spark, sf_dir):
 @query
 def stream_bucket_counts(spark, sf_dir):
     schema = sample_tables.table(spark, sf_dir, "events").schema
-    arriving = (
-        spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    )
+    # Six micro-batches, each over the whole time span.
+    files = scratch_path(spark, "files")
+    sample_tables.table(spark, sf_dir, "events").repartition(6, "event_id").write.parquet(files)
+    arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(files)
     logs = arriving.select(
         *[column.alias(name) for name, column in sample_tables.event_columns().items()]
     )
@@ -665,19 +678,11 @@ def stream_bucket_counts(spark, sf_dir):
 
 @query
 def stream_dedup(spark, sf_dir):
-    """Rows of which some arrive twice, through the streaming filter."""
-    arrivals, out = scratch_path(spark, "arrivals"), scratch_path(spark, "distinct")
-    sample_tables.visible_logs(spark, sf_dir).withColumn(
-        "received_at", F.col("timestamp")
-    ).write.parquet(arrivals)
+    """Rows of which some arrive twice, in six micro-batches out of the order of time."""
+    arrivals = scratch_path(spark, "arrivals")
+    sample_tables.visible_logs(spark, sf_dir).repartition(6).write.parquet(arrivals)
     schema = spark.read.parquet(arrivals).schema
-    once = drop_redelivered(spark.readStream.schema(schema).parquet(arrivals))
-    (
-        once.writeStream.format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", scratch_path(spark, "progress"))
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
-    )
-    return flat(spark.read.schema(schema).parquet(out), "k", "user_id")
+    table = LogTable(spark, scratch_path(spark, "distinct"))
+    arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(arrivals)
+    start_dedup(arriving, table, scratch_path(spark, "progress")).awaitTermination()
+    return flat(table.read(), "k", "user_id")

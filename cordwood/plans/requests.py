@@ -5,12 +5,14 @@ Parameters arrive as a mapping of request parameters and are refused with ``Quer
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Iterator, Mapping, Sequence
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from cordwood.functions.times import instant
+from cordwood.functions.times import format_iso, instant
 from cordwood.operators import listing
 from cordwood.operators.buckets import bucket_counts, bucket_counts_from_rollup, rollup_answers
 from cordwood.operators.filters import time_bounds
@@ -23,7 +25,13 @@ from cordwood.streaming.ingest import write_batch
 def post_logs(
     store: LogStore, bodies: Mapping[str, str], now: datetime, batch: str
 ) -> dict[str, dict]:
-    """Ingest request bodies by request id; their receipts, once their logs can be read."""
+    """Ingest request bodies by request id; their receipts, once their logs can be read.
+
+    The stored batch is named after ``batch`` and the request ids: the same requests posted again
+    replace themselves, others never do, whatever ``batch`` they name.
+    """
+    ids = json.dumps(sorted(bodies))
+    batch = f"{batch}-{hashlib.sha256(ids.encode()).hexdigest()[:32]}"
     spark = configure(store.spark)
     requests = spark.createDataFrame(list(bodies.items()), "request_id string, body string")
     write_batch(requests.withColumn("received_at", instant(now)), store, batch)
@@ -43,11 +51,15 @@ def get_logs(store: LogStore, params: Mapping[str, object], search_mode: str = "
     configure(store.spark)
     page = listing.page(store.logs, ListingQuery.parse(params, search_mode))
     rows = [
-        {**row.asDict(), "timestamp": format_instant(row["timestamp"])} for row in page.rows
+        {**row.asDict(), "timestamp": _time_text(row["timestamp"])} for row in page.rows
     ]
     return {"logs": rows, "next_cursor": page.next_cursor}
 
 
+def _time_text(time: datetime | str) -> str:
+    return time if isinstance(time, str) else format_instant(time)
+
+
 def get_aggregate(
     store: LogStore, params: Mapping[str, object], search_mode: str = "wildcard"
 ) -> Iterator[dict]:
@@ -60,8 +72,8 @@ def get_aggregate(
         counts = bucket_counts_from_rollup(store.rollup.scan(*bounds), logs, query)
     else:
         counts = bucket_counts(logs, query)
-    for row in counts.toLocalIterator():
-        yield {**row.asDict(), "start": format_instant(row["start"])}
+    for row in counts.withColumn("start", format_iso(F.col("start"))).toLocalIterator():
+        yield row.asDict()
 
 
 def pages(store: LogStore, params: Mapping[str, object]) -> Iterator[Sequence[dict]]:

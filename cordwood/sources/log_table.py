@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,17 +26,37 @@ RETENTION = timedelta(days=30)
 # Rows per file at most; the writer starts a new file beyond it.
 MAX_RECORDS_PER_FILE = 20_000_000
 
-# Input bytes per task of a bulk load. An estimate of more tasks than the maximum is no estimate
-# but an unknown size.
+# Input bytes per task of a bulk load, and the most tasks it asks for: beyond that they only grow.
 LOAD_BYTES = 256 << 20
-MAX_PARTITIONS = 1_000_000
+MAX_PARTITIONS = 100_000
+
+
+# The folder Spark gives to rows whose day is null.
+NO_DAY = "__HIVE_DEFAULT_PARTITION__"
+
+
+def within_days(days: Sequence[str], first: datetime | None, last: datetime | None) -> list[str]:
+    """The days from ``first`` to ``last``; ISO text sorts as the days do."""
+    return [
+        day
+        for day in days
+        if (first is None or day >= first.date().isoformat())
+        and (last is None or day <= last.date().isoformat())
+    ]
+
+
+def escaped(name: str) -> str:
+    """A partition value as Spark writes it into a folder name."""
+    return "".join(f"%{ord(c):02X}" if c in '"#%\'*/:=?\\\x7f{}[]^' or c < " " else c for c in name)
 
 
 class DayTable:
     """A Parquet table laid out by day and batch.
 
-    A write replaces exactly the (day, batch) folders it has rows for. Writing a batch again
-    therefore leaves one copy of it, which makes a sink that may be retried exact.
+    A write replaces the batch: the folders of the days it has rows for, and those that an earlier
+    write of the same batch left on other days. Writing a batch again therefore leaves one copy of
+    it, which makes a sink that may be retried exact. Days are handled as ISO text, as the names of
+    their folders: a year 0, which is legal, is no Python date.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, day_column: str):
@@ -51,14 +72,17 @@ class DayTable:
         Only the folders of those days are listed: a table keeps one folder per day and batch, and
         listing all of them would cost more than a query for an hour.
         """
+        days = within_days(self.days(), first, last)
+        if first is None and last is None and NO_DAY in self._day_folders():
+            days = [*days, NO_DAY]
+        return self.scan_days(days)
+
+    def scan_days(self, days: Sequence[str]) -> DataFrame:
+        """Rows of these days, which must have folders."""
         schema = with_partitions(self.schema)
-        folders = [
-            f"{self.path}/dt={day}"
-            for day in self.days()
-            if (first is None or day >= first.date()) and (last is None or day <= last.date())
-        ]
-        if not folders:
+        if not days:
             return self.spark.createDataFrame([], schema)
+        folders = [f"{self.path}/dt={day}" for day in days]
         return self.spark.read.schema(schema).option("basePath", self.path).parquet(*folders)
 
     def write(self, df: DataFrame, batch: str) -> None:
@@ -67,7 +91,7 @@ class DayTable:
         The rebalance hint gathers each day and lets the adaptive planner split a day that is too
         big for one task, without the extra pass that sampling a range costs.
         """
-        self._save(self._gathered(df, batch))
+        self._save(self._gathered(df, batch), batch)
 
     def _gathered(self, df: DataFrame, batch: str) -> DataFrame:
         return self._with_day(df, batch).hint("rebalance", "dt")
@@ -77,7 +101,8 @@ class DayTable:
             {"dt": F.to_date(self.day_column), "batch": F.lit(batch)}
         )
 
-    def _save(self, df: DataFrame) -> None:
+    def _save(self, df: DataFrame, batch: str) -> None:
+        before = self._batch_files(batch)
         (
             df.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
@@ -85,6 +110,22 @@ class DayTable:
             .partitionBy("dt", "batch")
             .parquet(self.path)
         )
+        # A replaced folder has new files; one that still has a file of before was not replaced.
+        _, fs = self._folder()
+        for folder, files in before.items():
+            if any(fs.exists(file) for file in files):
+                fs.delete(folder, True)
+
+    def _batch_files(self, batch: str) -> dict[object, list[object]]:
+        """The folders an earlier write of this batch left, with their files."""
+        _, fs = self._folder()
+        found = {}
+        for day in self._day_folders().values():
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(day, f"batch={escaped(batch)}")
+            if fs.exists(folder):
+                files = (status.getPath() for status in fs.listStatus(folder))
+                found[folder] = [file for file in files if file.getName().startswith("part-")]
+        return found
 
     def _folder(self):
         jvm = self.spark._jvm
@@ -95,25 +136,24 @@ class DayTable:
         folder, fs = self._folder()
         return fs.exists(folder)
 
-    def _day_folders(self) -> dict[date, object]:
+    def _day_folders(self) -> dict[str, object]:
         folder, fs = self._folder()
         if not fs.exists(folder):
             return {}
         names = ((status.getPath().getName(), status.getPath()) for status in fs.listStatus(folder))
-        return {date.fromisoformat(n[3:]): p for n, p in names if n.startswith("dt=")}
+        return {name[3:]: path for name, path in names if name.startswith("dt=")}
 
-    def days(self) -> list[date]:
+    def days(self) -> list[str]:
         """Days that have a folder: one listing of the table's top level, no file is read."""
-        return sorted(self._day_folders())
+        return sorted(day for day in self._day_folders() if day != NO_DAY)
 
-    def drop_days_before(self, day: date) -> list[date]:
-        """Delete whole days; nothing is rewritten."""
+    def drop_days_before(self, day: date) -> list[str]:
+        """Delete whole days; nothing is rewritten. Rows without a day stay."""
         _, fs = self._folder()
-        dropped = []
-        for found, folder in sorted(self._day_folders().items()):
-            if found < day:
-                fs.delete(folder, True)
-                dropped.append(found)
+        folders = self._day_folders()
+        dropped = [found for found in self.days() if found < day.isoformat()]
+        for found in dropped:
+            fs.delete(folders[found], True)
         return dropped
 
 
@@ -134,22 +174,22 @@ class LogTable(DayTable):
         keys = ["dt", "timestamp", "id"]
         rows = self._with_day(df, batch)
         if partitions is None:
-            needed = plan_bytes(df) // LOAD_BYTES
-            if int(self.spark.conf.get("spark.sql.shuffle.partitions")) < needed <= MAX_PARTITIONS:
+            needed = min(plan_bytes(df) // LOAD_BYTES, MAX_PARTITIONS)
+            if int(self.spark.conf.get("spark.sql.shuffle.partitions")) < needed:
                 partitions = needed
         spread = (
             rows.repartitionByRange(*keys)
             if partitions is None
             else rows.repartitionByRange(partitions, *keys)
         )
-        self._save(spread.sortWithinPartitions(*keys))
+        self._save(spread.sortWithinPartitions(*keys), batch)
 
     def append(self, df: DataFrame, batch: str) -> None:
         """Write one micro-batch, whose rows mostly lie close in time already, in sorted files."""
         keys = ["dt", "timestamp", "id"]
-        self._save(self._gathered(df, batch).sortWithinPartitions(*keys))
+        self._save(self._gathered(df, batch).sortWithinPartitions(*keys), batch)
 
-    def expire(self, now: datetime, keep: timedelta = RETENTION) -> list[date]:
+    def expire(self, now: datetime, keep: timedelta = RETENTION) -> list[str]:
         """Drop the days that lie wholly before the retention limit."""
         return self.drop_days_before((now - keep).date())
 
@@ -180,7 +220,7 @@ class LogStore:
         stored = self.logs.read().where(F.col("batch") == batch)
         self.rollup.write(minute_rollup(stored), batch)
 
-    def expire(self, now: datetime, keep: timedelta = RETENTION) -> list[date]:
+    def expire(self, now: datetime, keep: timedelta = RETENTION) -> list[str]:
         """Drop the days past the limit from all tables; the days dropped from the logs."""
         limit = (now - keep).date()
         for table in (self.rollup, self.rejects, self.receipts):

@@ -9,9 +9,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from cordwood.functions.times import BUCKETS
 
-# Logs older than the retention limit are gone anyway; nothing younger is dropped as late.
-LATENESS = "30 days"
-
 COUNTS_SCHEMA = T.StructType(
     [
         T.StructField("start", T.TimestampNTZType()),
@@ -22,20 +19,17 @@ COUNTS_SCHEMA = T.StructType(
 )
 
 
-def running_counts(
-    logs: DataFrame, bucket: str, group_by: str | None = None, lateness: str = LATENESS
-) -> DataFrame:
+def running_counts(logs: DataFrame, bucket: str, group_by: str | None = None) -> DataFrame:
     """Counts per bucket and group over a stream of logs; for update or complete mode.
 
-    Append mode would hold every bucket back until the watermark has passed it, the last ones for
-    as long as the stream is idle. State is one counter per bucket and group within ``lateness``.
+    Logs of any age count, so there is no watermark: state is one counter per bucket and group
+    that has logs, as many rows as the result.
     """
     group = F.col(group_by) if group_by else F.lit(None).cast("string")
-    # Watermarks need the zoned type; the session zone is UTC.
+    # Windows need the zoned type; the session zone is UTC.
     zoned = logs.withColumn("event_time", F.col("timestamp").cast("timestamp"))
     return (
-        zoned.withWatermark("event_time", lateness)
-        .groupBy(F.window("event_time", BUCKETS[bucket]).alias("window"), group.alias("group"))
+        zoned.groupBy(F.window("event_time", BUCKETS[bucket]).alias("window"), group.alias("group"))
         .agg(F.count(F.lit(1)).alias("count"))
         .select(F.col("window.start").cast("timestamp_ntz").alias("start"), "group", "count")
     )

@@ -1,22 +1,45 @@
-"""Drop redelivered rows from a stream."""
+"""Keep redelivered rows of a stream out of a stored table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
+from cordwood.operators import ingest
+from cordwood.schema import LOG_COLUMNS
+from cordwood.sources.log_table import LogTable
 
-def drop_redelivered(logs: DataFrame, arrival: str = "received_at", within: str = "1 hour") -> DataFrame:
-    """One row per id among rows that arrive within ``within`` of each other.
 
-    The watermark follows the time of arrival, not the log's own time. Logs may be of any age, and
-    a watermark on their own time would drop old logs as late. State holds the ids of the last
-    ``within`` of arrivals only.
+def append_new(logs: DataFrame, table: LogTable, batch: str) -> None:
+    """Append the rows whose id the table does not hold yet.
+
+    Copies of an id have the same time, so only the days that the batch touches are searched. Rows
+    of the same batch do not count as held: a batch that is written again replaces itself.
+    """
+    once = ingest.drop_redelivered(logs.select(*LOG_COLUMNS)).persist()
+    try:
+        touched = once.select(F.to_date("timestamp").cast("string").alias("day")).distinct()
+        days = {row["day"] for row in touched.collect()}
+        held = table.scan_days([day for day in table.days() if day in days])
+        earlier = held.where(F.col("batch") != batch).select("id")
+        table.append(once.join(earlier, "id", "left_anti"), batch)
+    finally:
+        once.unpersist()
+
+
+def start_dedup(
+    logs: DataFrame, table: LogTable, checkpoint: str, name: str = "dedup", processing_time: str | None = None
+) -> StreamingQuery:
+    """Run a stream of logs into a table that gets each id once.
+
+    Copies may come any time apart and in any order: there is no watermark, and no state but the
+    table itself. ``name`` must stay the same when the stream is restarted; one stream at a time
+    may write to the table.
     """
-    # Watermarks need the zoned type; the session zone is UTC.
-    timed = logs.withColumn("arrival_time", F.col(arrival).cast("timestamp"))
-    return (
-        timed.withWatermark("arrival_time", within)
-        .dropDuplicatesWithinWatermark(["id"])
-        .drop("arrival_time")
+    writer = logs.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
+        lambda rows, number: append_new(rows, table, f"{name}-{number}")
     )
+    if processing_time is None:
+        return writer.trigger(availableNow=True).start()
+    return writer.trigger(processingTime=processing_time).start()

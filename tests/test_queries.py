@@ -5,6 +5,8 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
+from cordwood.plans.oracle import ORACLE_SQL
+from cordwood.plans.registry import QUERIES
 
 from .compare import difference, duck, run_spark, run_sql
 
@@ -17,13 +19,14 @@ def connection():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLE_SQL)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE_SQL) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, connection, name):
-    found = run_spark(spark, entry.queries()[name], SF_DIR)
-    assert difference(found, run_sql(connection, entry.oracle_sql()[name])) is None
+    found = run_spark(spark, QUERIES[name], SF_DIR)
+    assert difference(found, run_sql(connection, ORACLE_SQL[name])) is None
 
 
 def test_entry(spark):

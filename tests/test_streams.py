@@ -10,7 +10,7 @@ from cordwood.operators import buckets, ingest
 from cordwood.plans.params import BucketQuery
 from cordwood.schema import LOG_SCHEMA
 from cordwood.sources import readers
-from cordwood.sources.log_table import LogStore
+from cordwood.sources.log_table import LogStore, LogTable
 from cordwood.streaming import buckets as stream_buckets
 from cordwood.streaming import dedup
 from cordwood.streaming import ingest as stream_ingest
@@ -130,14 +130,26 @@ def test_running_counts_equal_batch_counts(spark, logs, tmp_path):
     assert stream_buckets.current_counts(saved).orderBy("start", "group").collect() == expected
 
 
-def test_redelivered_rows_are_dropped_and_old_ones_kept(spark, logs, tmp_path):
-    fresh = logs(*[(f"{i}", NOW) for i in range(20)], ("ancient", datetime(1999, 1, 1)))
-    copies = fresh.union(fresh.where("id < '15'")).withColumn("received_at", F.lit(NOW).cast("timestamp_ntz"))
-    kept = dedup.drop_redelivered(stream_of(spark, copies, tmp_path / "in"))
-    query = (
-        kept.writeStream.format("parquet").option("path", str(tmp_path / "out"))
-        .option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start()
+def test_running_counts_take_rows_of_any_age(spark, logs, tmp_path):
+    folder = tmp_path / "in"
+    for number, days in enumerate((0, 1, 80)):
+        logs((f"{number}", NOW - timedelta(days=days))).coalesce(1).write.mode("append").parquet(str(folder))
+    arriving = (
+        spark.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(folder))
     )
-    query.awaitTermination()
-    found = [r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()]
-    assert sorted(found) == sorted([str(i) for i in range(20)] + ["ancient"])
+    out = str(tmp_path / "out")
+    running = stream_buckets.running_counts(arriving, "1d")
+    stream_buckets.start_counts(running, out, str(tmp_path / "progress")).awaitTermination()
+    saved = spark.read.schema(stream_buckets.COUNTS_SCHEMA).parquet(out)
+    assert stream_buckets.current_counts(saved).agg(F.sum("count")).first()[0] == 3
+
+
+def test_redelivered_rows_are_dropped_however_late_and_old_ones_kept(spark, logs, tmp_path):
+    fresh = logs(*[(f"{i}", NOW + timedelta(days=i)) for i in range(20)], ("ancient", datetime(1999, 1, 1)))
+    copies = fresh.union(fresh.where("id < '15'"))
+    table = LogTable(spark, str(tmp_path / "out"))
+    arriving = stream_of(spark, copies, tmp_path / "in", files=5)
+    dedup.start_dedup(arriving, table, str(tmp_path / "progress")).awaitTermination()
+    stored = table.read()
+    assert sorted(r["id"] for r in stored.collect()) == sorted([str(i) for i in range(20)] + ["ancient"])
+    assert stored.select("batch").distinct().count() > 1

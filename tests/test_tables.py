@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import json
-from datetime import date, datetime
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from cordwood.plans.params import BucketQuery
 from cordwood.operators import buckets
 from cordwood.sources import readers
-from cordwood.sources.log_table import LogTable, retained
+from cordwood.plans import requests
+from cordwood.schema import RECEIPT_SCHEMA
+from cordwood.sources.log_table import LogStore, LogTable, retained
 
 
 def at(day, hour=0):
@@ -23,7 +25,7 @@ def test_a_batch_written_twice_is_there_once(spark, logs, tmp_path):
     table.append(logs(("c", at(2))), "q-1")
     table.append(first, "q-0")
     assert sorted(r["id"] for r in table.read().collect()) == ["a", "b", "c"]
-    assert table.days() == [date(2026, 7, 1), date(2026, 7, 2)]
+    assert table.days() == ["2026-07-01", "2026-07-02"]
 
 
 def test_files_are_sorted_and_hold_narrow_times(spark, tmp_path):
@@ -64,10 +66,36 @@ def test_retention(spark, logs, tmp_path):
     table.load(logs(("a", at(1)), ("b", at(2, 11)), ("c", at(2, 12)), ("d", at(3))), "x")
     now = datetime(2026, 8, 1, 12)
     assert sorted(r["id"] for r in retained(table.read(), now).collect()) == ["c", "d"]
-    assert table.expire(now) == [date(2026, 7, 1)]
+    assert table.expire(now) == ["2026-07-01"]
     assert sorted(r["id"] for r in table.read().collect()) == ["b", "c", "d"]
 
 
+def test_a_batch_written_again_leaves_nothing_of_its_first_form(spark, logs, tmp_path):
+    store = LogStore(spark, str(tmp_path / "s"))
+    store.load(logs(("a", at(1)), ("b", at(2))), "x: 1")
+    store.load(logs(("z", at(1))), "y")
+    store.load(logs(("c", at(2))), "x: 1")
+    assert sorted(r["id"] for r in store.logs.read().collect()) == ["c", "z"]
+    assert store.rollup.read().agg(F.sum("count")).first()[0] == 2
+
+
+def test_a_row_of_year_0_and_one_without_a_day_break_nothing(spark, logs, tmp_path):
+    store = LogStore(spark, str(tmp_path / "s"))
+    zero = logs(("zero", at(1))).withColumn("timestamp", F.lit("0000-01-01 00:00:00").cast("timestamp_ntz"))
+    store.load(logs(("a", at(1)), ("b", at(2))).unionByName(zero), "x")
+    found = requests.get_logs(store, {"limit": "10"})["logs"]
+    assert [r["id"] for r in found] == ["b", "a", "zero"]
+    assert found[-1]["timestamp"] == "0000-01-01T00:00:00.000Z"
+    assert [r["id"] for r in requests.get_logs(store, {"since": "2026-07-02T00:00:00Z"})["logs"]] == ["b"]
+    range_ = {"since": "2026-06-30T00:00:00Z", "until": "2026-07-05T00:00:00Z", "bucket": "1d"}
+    assert [r["count"] for r in requests.get_aggregate(store, range_)] == [1, 1]
+    receipt = spark.createDataFrame([("r", None)], "request_id string, received_at timestamp_ntz")
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in RECEIPT_SCHEMA.fields if f.name not in receipt.columns]
+    store.receipts.write(receipt.select("*", *empty), "x")
+    assert store.receipts.read().count() == 1 and store.receipts.days() == []
+    assert store.expire(datetime(2026, 8, 1, 12)) == ["0000-01-01", "2026-07-01"]
+
+
 def test_bucket_query_prunes_days_and_columns(spark, logs, tmp_path):
     table = LogTable(spark, str(tmp_path / "t"))
     table.load(logs(*[(f"{d}", at(d, 5)) for d in range(1, 20)]), "x")
