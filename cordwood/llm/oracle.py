@@ -5,18 +5,18 @@ ORACLE_SQL = {
     # exactly; no fingerprints.
     "op1_decontaminate": r"""
 WITH doc_words AS (
-    SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}]+'), w -> w <> '') AS w
+    SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda w: w <> '') AS w
     FROM (SELECT DISTINCT doc_id, text FROM documents)
 ), doc_grams AS (
-    SELECT doc_id, len(w) - 4 AS size, unnest(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' '))) AS gram,
+    SELECT doc_id, len(w) - 4 AS size, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS gram,
            unnest(range(0, len(w) - 4)) AS at
     FROM doc_words WHERE len(w) >= 5
 ), item_words AS (
-    SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}]+'), w -> w <> '') AS w
+    SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda w: w <> '') AS w
     FROM benchmark
 ), item_grams AS (
     SELECT item_id, gram, count(*) AS n_item FROM (
-        SELECT item_id, unnest(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' '))) AS gram
+        SELECT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS gram
         FROM item_words WHERE len(w) >= 5) GROUP BY item_id, gram
 ), item_size AS (
     SELECT item_id, sum(n_item) AS weight FROM item_grams GROUP BY item_id
