@@ -174,12 +174,15 @@ class Remembered(dict):
         ids = self.older.get(text)
         if ids is None:
             ids = self.compute(text)
+        self.keep(text, ids)
+        return ids
+
+    def keep(self, text: str, ids: bytes) -> None:
         if len(text) <= CACHED_LENGTH:
             if len(self) >= self.limit:
                 self.older = dict(self)
                 self.clear()
             self[text] = ids
-        return ids
 
 
 def encoder(tokenizer: Tokenizer) -> Callable[[str], bytes]:

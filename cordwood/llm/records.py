@@ -17,7 +17,8 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +27,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cordwood.llm.byte_bpe import Remembered
+from cordwood.llm.byte_bpe import CACHED_LENGTH, Remembered
 from cordwood.llm.common import Scratch
 
 FILE_BYTES = 64 << 20
 _MASK = 0xA282EAD8  # fixed value of the record format
-# Words that a task remembers.
-CACHED_WORDS = 300_000
+# Words that a task remembers, and units of words.
+CACHED_WORDS, CACHED_UNITS = 300_000, 300_000
+# Words looked at in one step.
+TOGETHER = 5_000
 # Information separators: Python splits words at them, the tokeniser does not.
 _ODD = re.compile("[\x1c-\x1f]")
 _MARKS = ".,!?;:*%#$&|"
@@ -62,22 +65,56 @@ def unframe(head: bytes, rest: bytes) -> bytes:
     return payload
 
 
-class _Words(Remembered):
-    """Words without the marks that follow them, in lower case.
+def _unit(word: str) -> str:
+    """The part of a word that is encoded by itself: without the marks that follow, in lower case.
 
-    Marks after a letter are a piece of their own and case is folded, so other words are put
-    together from these and take no place.
+    Marks after a letter are a piece of their own and case is folded.
     """
-
-    def __missing__(self, word: str) -> bytes:
-        core = word.rstrip(_MARKS)
+    core = word if word.isalpha() else word.rstrip(_MARKS)
+    if core.isalpha():
         folded = core.lower()
+        if core.isascii():
+            return folded
         if folded.isalpha():
-            if len(core) < len(word):
-                return self[folded if core.isascii() else core] + self[word[len(core) :]]
-            if folded != core and core.isascii():
-                return self[folded]
-        return super().__missing__(word)
+            return core
+    return word
+
+
+class _Words(dict):
+    """Words as they stand to their packed ids, put together from units and marks.
+
+    ``compute`` encodes a list of units. Words are forgotten when there are too many, units stay
+    longer.
+    """
+
+    def __init__(self, compute: Callable[[list[str]], list[bytes]], limit: int, units: int) -> None:
+        super().__init__()
+        self.compute = compute
+        self.limit = limit
+        self.units = Remembered(lambda unit: compute([unit])[0], units)
+
+    def _join(self, word: str, unit: str) -> bytes:
+        ids = self.units[unit]
+        return ids + self.units[word[len(unit) :]] if len(unit) < len(word) else ids
+
+    def __missing__(self, word: str) -> bytes:
+        return self._join(word, _unit(word))
+
+    def learn(self, words: set[str]) -> None:
+        """Remember words not met before; their units are encoded together, which costs less."""
+        fresh = [word for word in words if len(word) <= CACHED_LENGTH]
+        if len(self) + len(fresh) > self.limit:
+            self.clear()
+        units = self.units
+        for at in range(0, len(fresh), TOGETHER):
+            part = fresh[at : at + TOGETHER]
+            parts = list(map(_unit, part))
+            new = [x for x in set(parts) if x not in units and x not in units.older and is_normalized("NFC", x)]
+            if new:
+                for unit, ids in zip(new, self.compute(new)):
+                    units.keep(unit, ids)
+            if len(self) < self.limit:
+                self.update(zip(part, map(self._join, part, parts)))
 
 
 _encoders: dict[str, tuple] = {}
@@ -97,18 +134,34 @@ def word_encoder(definition: str, width: str):
         tokenizer.encode_special_tokens = True  # their strings in a text are plain text
 
         def whole(text: str) -> bytes:
-            ids = tokenizer.encode(text, add_special_tokens=False).ids
-            return struct.pack(f"<{len(ids)}{'H' if width == '<u2' else 'I'}", *ids)
-
-        remembered = _Words(whole, CACHED_WORDS)
-        _encoders[key] = (remembered, whole)
+            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype=width).tobytes()
+
+        def each(units: list[str]) -> list[bytes]:
+            if len(units) == 1:
+                return [whole(units[0])]
+            found = tokenizer.encode(" ".join(units), add_special_tokens=False)
+            packed = np.array(found.ids, dtype=width)
+            # A unit's ids are those that begin in it.
+            begins = np.fromiter((begin for begin, _ in found.offsets), np.int64, len(packed))
+            ends = np.cumsum([len(unit) + 1 for unit in units])
+            cuts = [0, *np.searchsorted(begins, ends).tolist()]
+            return [packed[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+
+        _encoders[key] = (_Words(each, CACHED_WORDS, CACHED_UNITS), whole)
     remembered, whole = _encoders[key]
-    look_up = remembered.__getitem__
+    known = remembered.get
 
     def encode(text: str) -> bytes:
         if _ODD.search(text):
             return whole(text)
-        return b"".join(map(look_up, text.split()))
+        words = text.split()
+        found = list(map(known, words))
+        unknown = [at for at, ids in enumerate(found) if ids is None]
+        if unknown:
+            remembered.learn({words[at] for at in unknown})
+            for at in unknown:
+                found[at] = remembered[words[at]]
+        return b"".join(found)
 
     return encode
 
