@@ -38,7 +38,8 @@ def _newest_candidates(rows: DataFrame, count: int) -> DataFrame:
     minutes = rows.groupBy(bucket_start(F.col("timestamp"), "1m").alias("start")).agg(
         F.count(F.lit(1)).alias("rows")
     )
-    # One row per minute that has logs: half a million a year.
+    # Each minute has a row at least, so the newest ``count`` of them hold the page.
+    minutes = minutes.orderBy(F.desc("start")).limit(count)
     newer = F.sum("rows").over(
         Window.orderBy(F.desc("start")).rowsBetween(Window.unboundedPreceding, -1)
     )
