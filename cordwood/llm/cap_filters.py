@@ -2,14 +2,15 @@
 
 Filters are directions of a random product code: a rotated vector is cut into blocks, every block
 has a random code of its own, and a direction is one code word per block. A vector passes a filter
-if its inner product with the direction reaches ``CAP``. List decoding finds these directions block
+if its inner product with the direction reaches a cap. List decoding finds these directions block
 by block, without a look at all of them. Vectors that pass one filter in common, in any of a few
-independent codes, are candidates; their cosine is then computed exactly.
+independent codes, are candidates; their cosine is then computed exactly. The cap follows from the
+length of the vectors, the number of codes from the odds to miss a pair at the threshold.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +21,13 @@ from cordwood.llm.common import Scratch, maybe_broadcast
 from cordwood.llm.components import components
 
 COSINE = 0.93
-# Two vectors with that cosine in 64 dimensions miss each other in one of these codes with odds of
-# 0.35, in all of them with odds of 0.002; random vectors share 0.03 filters on average.
-BLOCKS, WORDS, CAP, CODES = 2, 128, 0.40, 6
+# Vectors of fewer than eight components have one block. ``CAP`` is the cap of 64 dimensions.
+BLOCKS, WORDS, CAP = 2, 128, 0.40
+# Filters that a vector passes in one code on average, and the odds to miss a pair at the threshold
+# in all codes. Random vectors of eight and more components share 0.004 filters in each code.
+FILTERS, MISSED = 8.0, 0.002
+# Codes after which wider caps are tried, and the pairs that measure the odds.
+MAX_CODES, TRIALS = 48, 2000
 # Classes of equal vectors up to which vectors are broadcast to the candidate pairs.
 BROADCAST_VECTORS = 60_000
 
@@ -32,16 +37,21 @@ def _code(dimension: int, code: int) -> tuple[np.ndarray, list[np.ndarray]]:
     draw = np.random.default_rng([dimension, code])
     rotation, _ = np.linalg.qr(draw.normal(size=(dimension, dimension)))
     words = []
-    for size in map(len, np.array_split(np.arange(dimension), min(BLOCKS, dimension))):
+    for size in map(len, np.array_split(np.arange(dimension), BLOCKS if dimension >= 8 else 1)):
         block = draw.normal(size=(WORDS, size))
         words.append(block / np.linalg.norm(block, axis=1, keepdims=True))
     return rotation, words
 
 
-def decode(vectors: np.ndarray, code: int, cap: float = CAP) -> tuple[np.ndarray, np.ndarray]:
-    """(row, filter) for every filter that a unit vector passes."""
+def decode(
+    vectors: np.ndarray,
+    code: int,
+    cap: float = CAP,
+    made: tuple[np.ndarray, list[np.ndarray]] | None = None,
+) -> tuple[np.ndarray, np.ndarray]:
+    """(row, filter) for every filter that a unit vector passes; ``made`` is the code if at hand."""
     dimension = vectors.shape[1]
-    rotation, words = _code(dimension, code)
+    rotation, words = made or _code(dimension, code)
     turned = vectors @ rotation
     cuts = np.array_split(np.arange(dimension), len(words))
     products = [turned[:, cut] @ block.T / np.sqrt(len(words)) for cut, block in zip(cuts, words)]
@@ -56,28 +66,72 @@ def decode(vectors: np.ndarray, code: int, cap: float = CAP) -> tuple[np.ndarray
     return rows, number
 
 
-def _filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            nodes = part.column(0).to_numpy(zero_copy_only=False)
-            vectors = part.column(1)
-            sizes = np.diff(vectors.offsets.to_numpy())
-            flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(float)
-            starts = np.append(0, np.cumsum(sizes))
-            for size in np.unique(sizes):
+def cap_of(dimension: int, share: float) -> float:
+    """The cap that a random unit vector reaches along a direction with odds of ``share``."""
+    if dimension == 1:
+        return 0.0
+    angles = np.linspace(0.0, np.pi, 100_001)[1:-1]
+    density = np.exp((dimension - 2) * np.log(np.sin(angles)))
+    return float(np.cos(np.interp(share, np.cumsum(density) / density.sum(), angles)))
+
+
+def plan(dimension: int, threshold: float) -> tuple[float, int]:
+    """Cap and number of codes that miss a pair of cosine ``threshold`` with odds of ``MISSED``.
+
+    The odds are measured on random pairs: after a random rotation all pairs of one cosine have the
+    same. No codes means that no filter tells such pairs apart from others.
+    """
+    draw = np.random.default_rng([dimension, TRIALS])
+    cosine = float(np.clip(threshold, -1.0, 1.0))
+    one, other = draw.normal(size=(2, TRIALS, dimension))
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    other -= np.einsum("ij,ij->i", one, other)[:, None] * one
+    other /= np.maximum(np.linalg.norm(other, axis=1, keepdims=True), 1e-12)
+    other = cosine * one + np.sqrt(1.0 - cosine * cosine) * other
+    directions = WORDS ** (BLOCKS if dimension >= 8 else 1)
+    filters = FILTERS
+    while cosine > 0 and filters <= directions / 16:
+        cap = cap_of(dimension, filters / directions)
+        missed = 0.0
+        for code in range(2):
+            (row_a, number_a), (row_b, number_b) = decode(one, code, cap), decode(other, code, cap)
+            common = np.intersect1d(row_a * directions + number_a, row_b * directions + number_b)
+            missed += (1.0 - len(np.unique(common // directions)) / TRIALS) / 2
+        codes = int(np.ceil(np.log(MISSED) / np.log(np.clip(missed, 1e-9, 1 - 1e-9))))
+        if codes <= MAX_CODES:
+            return cap, codes
+        filters *= 2
+    return -1.0, 0
+
+
+def _filters(plans: dict[int, tuple[float, int]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def passed(nodes: np.ndarray, number: np.ndarray, size: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(nodes), pa.array(number * 4096 + min(size, 4095))], names=["node", "filter"]
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = batch.column(0).to_numpy(zero_copy_only=False)
+            sizes = np.diff(batch.column(1).offsets.to_numpy())
+            for size in map(int, np.unique(sizes)):
+                if size not in plans:
+                    continue
+                cap, codes = plans[size]
                 own = np.flatnonzero(sizes == size)
-                block = np.stack([flat[starts[i] : starts[i] + size] for i in own])
-                block /= np.linalg.norm(block, axis=1, keepdims=True)
-                for code in range(CODES):
-                    rows, number = decode(block, code)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(nodes[own[rows]]),
-                            pa.array((number * CODES + code) * 4096 + min(int(size), 4095)),
-                        ],
-                        names=["node", "filter"],
-                    )
+                if not codes:
+                    yield passed(nodes[own], np.zeros(len(own), np.int64), size)
+                for code in range(codes):
+                    made = _code(size, code)
+                    for at in range(0, len(own), 512):
+                        some = own[at : at + 512]
+                        flat = batch.column(1).take(pa.array(some)).flatten()
+                        block = flat.to_numpy(zero_copy_only=False).astype(float).reshape(-1, size)
+                        block /= np.linalg.norm(block, axis=1, keepdims=True)
+                        rows, number = decode(block, code, cap, made)
+                        yield passed(nodes[some[rows]], number * codes + code, size)
+
+    return run
 
 
 def _verified(threshold: float):
@@ -133,9 +187,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = COSINE) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("vec_id")),
         "classes",
     )
+    # A length that only one vector has links with nothing. A row per length, with its plan.
+    lengths = classes.groupBy(F.size("embedding").alias("size")).count().where("count > 1").collect()
+    plans = {r["size"]: plan(r["size"], threshold) for r in lengths}
     passed = (
         classes.select("node", "embedding")
-        .mapInArrow(_filters, "node long, filter long")
+        .mapInArrow(_filters(plans), "node long, filter long")
         .join(classes.select("node", "label"), "node")
     )
     passed = scratch.store(passed, "filters")

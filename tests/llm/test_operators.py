@@ -216,3 +216,43 @@ def test_embeddings(spark):
     assert {r["vec_id"]: r["component_id"] for r in found}[40] == 0
     assert all(r["kept"] == (r["vec_id"] is not None and r["vec_id"] == r["component_id"]) for r in found)
     assert cap_filters.near_duplicates(table.limit(0)).count() == 0
+
+
+def test_links_of_vectors_of_any_length(spark):
+    draw = np.random.default_rng(4)
+    rows, expected = [], {}
+    for size in (1, 3, 32, 128, 384, 768):
+        base = draw.normal(size=(100, size))
+        noise = draw.normal(size=base.shape) * np.linalg.norm(base, axis=1, keepdims=True) / np.sqrt(size)
+        vectors = np.concatenate([base, base + 0.38 * noise]).astype(np.float32).astype(float)
+        unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        links = (unit @ unit.T >= 0.93).sum(axis=1) - 1
+        for vector, count in zip(vectors, links):
+            expected[len(rows)] = (size, int(count))
+            rows.append((len(rows), vector.tolist(), 1))
+    rows.append((len(rows), [1.0] * 96, 1))
+    expected[len(rows) - 1] = (96, 0)
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    found = {r["vec_id"]: r["n_links"] for r in cap_filters.near_duplicates(table).collect()}
+    for size in (1, 3, 32, 128, 384, 768):
+        counts = [(found[i], count) for i, (length, count) in expected.items() if length == size]
+        assert all(here <= count for here, count in counts)
+        assert sum(here for here, _ in counts) >= 0.98 * sum(count for _, count in counts) > 0
+    assert found[len(rows) - 1] == 0
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.93, 0.99])
+@pytest.mark.parametrize("size", [8, 64, 200])
+def test_planned_codes_miss_few_pairs(size, threshold):
+    draw = np.random.default_rng(size)
+    one = draw.normal(size=(1000, size))
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    other = draw.normal(size=one.shape)
+    other -= (one * other).sum(axis=1, keepdims=True) * one
+    other = threshold * one + np.sqrt(1 - threshold**2) * other / np.linalg.norm(other, axis=1, keepdims=True)
+    cap, codes = cap_filters.plan(size, threshold)
+    together = np.zeros(1000, bool) if codes else np.ones(1000, bool)
+    for code in range(codes):
+        passed = [set(zip(*map(np.ndarray.tolist, cap_filters.decode(side, code, cap)))) for side in (one, other)]
+        together[[row for row, _ in passed[0] & passed[1]]] = True
+    assert together.mean() >= 0.99
