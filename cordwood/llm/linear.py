@@ -2,6 +2,8 @@
 
 Fitting takes a bounded sample of labelled texts; counting and feature extraction run on Spark, the
 fit itself on the driver over at most ``2 * per_class`` sparse rows and ``max_features`` columns.
+Sampled rows are weighted by what their class has in all labelled texts, so that scores mean the
+same whether the bound cuts a class or not.
 Scoring is one pass over all texts with a weight table of fixed size.
 """
 
@@ -84,16 +86,36 @@ def text_features(
         row = end
 
 
+def _usable(labels: DataFrame, label: str) -> DataFrame:
+    """The labels that may be learnt from, each once."""
+    return (
+        labels.select("doc_id", F.col(label).alias("label"))
+        .where(F.col("doc_id").isNotNull() & ~held_out("doc_id") & F.col("label").isin(0, 1))
+        .distinct()
+    )
+
+
+def _class_totals(
+    docs: DataFrame, labels: DataFrame, label: str, settings: Settings, sampled: dict[int, int]
+) -> dict[int, int]:
+    """Distinct labelled texts of each class in all of ``docs``; counted only if a class was cut."""
+    usable = _usable(labels, label)
+    sizes = dict(usable.groupBy("label").count().collect())
+    if max(sizes.values()) <= settings.per_class:
+        return sampled
+    texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")).distinct()
+    return dict(
+        texts.join(usable, "doc_id").select("label", "text_key").distinct().groupBy("label").count().collect()
+    )
+
+
 def _sample(docs: DataFrame, labels: DataFrame, label: str, settings: Settings) -> DataFrame:
     """At most ``per_class`` labelled rows of each class, the first by a hash of their ids."""
-    usable = labels.select("doc_id", F.col(label).alias("label")).where(
-        F.col("doc_id").isNotNull() & ~held_out("doc_id")
-    )
+    usable = _usable(labels, label)
     chosen = None
     for value in (0, 1):
         one = (
             usable.where(F.col("label") == value)
-            .distinct()
             .orderBy(F.xxhash64("doc_id"), "doc_id")
             .limit(settings.per_class)
         )
@@ -140,22 +162,27 @@ def _restricted(extract: Extractor, features: np.ndarray):
 
 
 def dual_coordinate_descent(
-    rows: list[np.ndarray], signs: np.ndarray, scale: np.ndarray, settings: Settings
+    rows: list[np.ndarray],
+    signs: np.ndarray,
+    scale: np.ndarray,
+    settings: Settings,
+    shares: np.ndarray | None = None,
 ) -> tuple[np.ndarray, float]:
     """Weights and bias of an L2-regularised squared-hinge SVM, one dual variable at a time.
 
-    A row is the set of its columns; column j has the value ``scale[j]``, the bias column 1.
+    A row is the set of its columns; column j has the value ``scale[j]``, the bias column 1. The loss
+    of row i counts ``shares[i]`` times, once by default.
     """
     weights, bias = np.zeros(len(scale)), 0.0
-    diagonal = 1.0 / (2.0 * settings.penalty)
-    norms = np.array([float(np.square(scale[r]).sum()) + 1.0 + diagonal for r in rows])
+    diagonal = 1.0 / (2.0 * settings.penalty * (np.ones(len(rows)) if shares is None else shares))
+    norms = np.array([float(np.square(scale[r]).sum()) + 1.0 + d for r, d in zip(rows, diagonal)])
     alpha = np.zeros(len(rows))
     order = np.random.default_rng(17)
     for _ in range(settings.epochs):
         for i in order.permutation(len(rows)):
             columns = rows[i]
             values = scale[columns]
-            gradient = signs[i] * (float(weights[columns] @ values) + bias) - 1.0 + diagonal * alpha[i]
+            gradient = signs[i] * (float(weights[columns] @ values) + bias) - 1.0 + diagonal[i] * alpha[i]
             updated = max(alpha[i] - gradient / norms[i], 0.0)
             step = (updated - alpha[i]) * signs[i]
             if step:
@@ -165,14 +192,14 @@ def dual_coordinate_descent(
     return weights, bias
 
 
-def _squash(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+def _squash(margins: np.ndarray, labels: np.ndarray, shares: np.ndarray) -> tuple[float, float]:
     """Slope and shift of a logistic curve from margin to the odds of label 1 (Newton's method)."""
     ones, zeros = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
     target = np.where(labels == 1, (ones + 1) / (ones + 2), 1 / (zeros + 2))
     slope, shift = 1.0, 0.0
     for _ in range(60):
         p = 1.0 / (1.0 + np.exp(-np.clip(slope * margins + shift, -30, 30)))
-        d, w = p - target, np.maximum(p * (1 - p), 1e-9)
+        d, w = shares * (p - target), shares * np.maximum(p * (1 - p), 1e-9)
         g = np.array([d @ margins, d.sum()])
         h = np.array([[w @ np.square(margins) + 1e-6, w @ margins], [w @ margins, w.sum() + 1e-6]])
         move = np.linalg.solve(h, g)
@@ -204,6 +231,10 @@ def fit(
         scratch.drop("sample")
         return Model(np.zeros(0, np.int64), np.zeros(0), 0.0, 0.0, share)
     n_ones, n_zeros = by_class[1], by_class[0]
+    totals = _class_totals(docs, labels, label, settings, by_class)
+    # What a sampled row stands for, 1 on average: the penalty stays that of the rows at hand.
+    each = np.array([totals[0] / n_zeros, totals[1] / n_ones])
+    each *= (n_ones + n_zeros) / (totals[0] + totals[1])
     counts = (
         sample.select("label", "text")
         .mapInArrow(_counting(extract), "feature int, ones int, zeros int")
@@ -212,7 +243,8 @@ def fit(
         .where(F.col("ones") + F.col("zeros") >= settings.min_texts)
     )
     apart = F.abs(F.col("ones") / n_ones - F.col("zeros") / n_zeros)
-    spread = F.sqrt((F.col("ones") + F.col("zeros")) / (n_ones + n_zeros))
+    share = (F.col("ones") * float(each[1]) + F.col("zeros") * float(each[0])) / (n_ones + n_zeros)
+    spread = F.sqrt(share)
     best = counts.orderBy((apart / spread).desc(), "feature").limit(settings.max_features)
     chosen = best.toPandas().sort_values("feature")
     features = chosen["feature"].to_numpy(np.int64)
@@ -232,17 +264,18 @@ def fit(
     order = sorted(range(len(rows)), key=lambda i: (truth[i], len(rows[i]), rows[i].tobytes()))
     rows, truth = [rows[i] for i in order], truth[order]
     signs = np.where(truth == 1, 1.0, -1.0)
+    shares = each[truth]
     fold = np.arange(len(rows)) % 3
 
     margins = np.zeros(len(rows))
     for k in range(3):
         inside = np.flatnonzero(fold != k)
-        w, b = dual_coordinate_descent([rows[i] for i in inside], signs[inside], ratios, settings)
+        w, b = dual_coordinate_descent([rows[i] for i in inside], signs[inside], ratios, settings, shares[inside])
         w = _interpolate(w, settings) * ratios
         for i in np.flatnonzero(fold == k):
             margins[i] = w[rows[i]].sum() + b
-    slope, shift = _squash(margins, truth)
-    w, b = dual_coordinate_descent(rows, signs, ratios, settings)
+    slope, shift = _squash(margins, truth, shares)
+    w, b = dual_coordinate_descent(rows, signs, ratios, settings, shares)
     return Model(features, _interpolate(w, settings) * ratios, b, slope, shift)
 
 

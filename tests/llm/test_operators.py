@@ -256,3 +256,18 @@ def test_planned_codes_miss_few_pairs(size, threshold):
         passed = [set(zip(*map(np.ndarray.tolist, cap_filters.decode(side, code, cap)))) for side in (one, other)]
         together[[row for row, _ in passed[0] & passed[1]]] = True
     assert together.mean() >= 0.99
+
+
+@pytest.mark.parametrize("judge, label", [(toxicity.judge_toxicity, "toxic"), (quality.judge_quality, "quality")])
+def test_scores_mean_the_same_if_a_class_is_cut(spark, judge, label):
+    draw = random.Random(8)
+    rows, labels = [], []
+    for i in range(4000):
+        marked = int(i % 10 == 0)
+        sign = ["vileword"] if draw.random() < (0.7 if marked else 0.1) else []
+        rows += [(i, text := " ".join(words(draw, 12) + sign)), (10000 + i, text)]
+        labels += [(i, marked), *([] if marked else [(10000 + i, marked)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame(labels, f"doc_id long, {label} int")
+    means = [judge(docs, docs, known, Settings(per_class=size)).toPandas().score.mean() for size in (5000, 250)]
+    assert all(0.03 < mean < 0.2 for mean in means), means
