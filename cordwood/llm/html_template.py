@@ -3,11 +3,13 @@
 A page is a sequence of tokens: tags, told apart by the elements around them and their class, and
 blocks of text. The occurrence vector of a token says how often each page of its host has it;
 tokens of one vector form a class. A class is valid if enough pages have it and it holds a tag:
-texts that only come together (copies of an article) are no template. The classes nest, from the
-one that every page of the host has downwards, and what they leave open are the slots of the
-template. The text of a page is what its slots hold, save those in elements that say themselves
-that they are no content (menus, forms, adverts, comments and so on); if the page marks an article
-or a main part, that is where its content is, all of it.
+texts that only come together (copies of an article) are no template. Texts of valid classes are
+template, all others fill its slots. The text of a page is what its slots hold, save those in
+elements that say themselves that they are no content (menus, forms, adverts, comments and so on);
+if the page marks an article or a main part, its slots are those inside. There a text is template
+only if the block it stands in is of its class too, as a line that many articles cite is content;
+an article of which nothing would be left is a copy and stays whole. The order and the nesting of
+the classes are not worked out.
 
 Vectors are never collected: a vector is the bitwise sum of a hash per page and count, which is
 added up before the shuffle, so a host with most of all pages costs one row per token and task.
@@ -96,22 +98,23 @@ def _class_of(rest: str) -> str:
     return next(("".join(v) for k, *v in _ATTRIBUTE.findall(rest) if k.lower() == "class"), "")
 
 
-def tokens(html: str) -> Iterator[tuple[str, str, bool, bool]]:
+def tokens(html: str) -> Iterator[tuple[str, str, bool | str, bool]]:
     """The page as ('tag', token, content, open) and ('text', text, content, open) in page order.
 
-    ``content`` is whether the text lies in an article or main part, or the tag begins one;
+    ``content`` is whether the tag begins an article or main part; of a text in one it is the tag of
+    the block around it, of other texts it is empty;
     ``open`` whether no element around it rules it out. White space inside a text is one space; empty texts are left out.
     """
-    stack: list[tuple[str, bool, bool]] = []  # name, in content, ruled out
+    stack: list[tuple[str, bool, bool, str]] = []  # name, in content, ruled out, tag of the block
     said: list[str] = []
     at, size = 0, len(html)
 
-    def block() -> Iterator[tuple[str, str, bool, bool]]:
+    def block() -> Iterator[tuple[str, str, bool | str, bool]]:
         text = " ".join("".join(said).split())
         said.clear()
         if text:
-            _, content, closed = stack[-1] if stack else ("", False, False)
-            yield "text", text, content, not closed
+            _, content, closed, tag = stack[-1] if stack else ("", False, False, "")
+            yield "text", text, tag if content else "", not closed
 
     while at < size:
         match = _TOKEN.search(html, at)
@@ -139,7 +142,7 @@ def tokens(html: str) -> Iterator[tuple[str, str, bool, bool]]:
             if depth is not None and (is_block or not any(entry[0] in BLOCKS for entry in stack[depth + 1 :])):
                 del stack[depth:]
             continue
-        out = _no_content(name, rest)
+        out, own = _no_content(name, rest), ""
         if is_block or out:
             yield from block()
         if is_block:
@@ -156,15 +159,16 @@ def tokens(html: str) -> Iterator[tuple[str, str, bool, bool]]:
                         break
             path = "/".join(entry[0] for entry in stack if entry[0] in BLOCKS and entry[0] != "p")
             ruled_out = out or bool(stack) and stack[-1][2]
-            yield "tag", f"{path}/{name}.{_class_of(rest)}", name in CONTENT and not ruled_out, not ruled_out
+            own = f"{path}/{name}.{_class_of(rest)}"
+            yield "tag", own, name in CONTENT and not ruled_out, not ruled_out
         if name in VOID or rest.rstrip().endswith("/") and not is_block and name not in RAW:
             continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(html, at)
             at = end.end() if end else size
             continue
-        _, content, closed = stack[-1] if stack else ("", False, False)
-        stack.append((name, content or (name in CONTENT and not closed), closed or out))
+        _, content, closed, tag = stack[-1] if stack else ("", False, False, "")
+        stack.append((name, content or (name in CONTENT and not closed), closed or out, own or tag))
     yield from block()
 
 
@@ -173,21 +177,30 @@ def _signed(data: str) -> int:
     return code - (1 << 64) if code >> 63 else code
 
 
+def _key(text: str, around: bool | str) -> int:
+    """A text as a token; texts in an article or main part are told apart by the block around them."""
+    return _signed(f"{around}\0{text}" if around else text)
+
+
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per host and token: its occurrence vector, pages and kind, added up per batch."""
-    names = ["host", "token", "tag", "vector", "pages"]
-    kinds = [pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
+    """Per host and token: its occurrence vector, pages, kind and the block that must be of its class."""
+    names = ["host", "token", "tag", "around", "vector", "pages"]
+    kinds = [pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
     for batch in batches:
-        found: dict[tuple[str | None, int, bool], list[int]] = {}
+        found: dict[tuple[str | None, int, bool, int | None], list[int]] = {}
         for row, host, html in zip(*(batch.column(k) for k in range(3))):
             row, host = row.as_py(), host.as_py()
-            counts: dict[tuple[int, bool], int] = {}
+            counts: dict[tuple[int, bool, int | None], int] = {}
             for kind, value, content, free in tokens(html.as_py() or ""):
-                if kind == "tag" or (free and not content):
-                    key = (_signed(value), kind == "tag")
-                    counts[key] = counts.get(key, 0) + 1
-            for (token, tag), count in counts.items():
-                entry = found.setdefault((host, token, tag), [0, 0])
+                if kind == "tag":
+                    key = (_signed(value), True, None)
+                elif free:
+                    key = (_key(value, content), False, _signed(content) if content else None)
+                else:
+                    continue
+                counts[key] = counts.get(key, 0) + 1
+            for (token, tag, around), count in counts.items():
+                entry = found.setdefault((host, token, tag, around), [0, 0])
                 entry[0] ^= _signed(f"{row}:{count}")
                 entry[1] += 1
         if found:
@@ -200,15 +213,17 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = []
         for html, fixed in zip(batch.column(2), batch.column(3)):
             template = set(fixed.as_py() or ())
-            inside, outside, marked = [], [], False
+            inside, whole, outside, marked = [], [], [], False
             for kind, value, content, free in tokens(html.as_py() or ""):
                 if kind == "tag":
                     marked = marked or content
-                elif free and content:
-                    inside.append(value)
-                elif free and not (template and _signed(value) in template):
-                    outside.append(value)
-            texts.append("\n".join(inside if marked else outside))
+                elif free:
+                    slot = not (template and _key(value, content) in template)
+                    if content:
+                        whole.append(value)
+                    if slot:
+                        (inside if content else outside).append(value)
+            texts.append("\n".join((inside or whole) if marked else outside))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"]
         )
@@ -229,10 +244,10 @@ def main_texts(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
         F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))).alias("host"),
     )
     seen = hosted.select(F.monotonically_increasing_id().alias("row"), "host", "html").mapInArrow(
-        _vectors, "host string, token long, tag boolean, vector long, pages long"
+        _vectors, "host string, token long, tag boolean, around long, vector long, pages long"
     )
     summed = scratch.store(
-        seen.groupBy("host", "token", "tag").agg(
+        seen.groupBy("host", "token", "tag", "around").agg(
             F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages")
         ).where(F.col("pages") >= min_pages),
         "tokens",
@@ -243,10 +258,10 @@ def main_texts(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
         .where("has_tag AND tokens > 1")
         .select("host", "vector", "pages")
     )
-    fixed = scratch.store(
-        summed.where("NOT tag").join(classes, ["host", "vector", "pages"], "left_semi").select("host", "token"),
-        "fixed",
-    )
+    free = summed.where("NOT tag AND around IS NULL").join(classes, ["host", "vector", "pages"], "left_semi")
+    blocks = summed.where("tag").select("host", F.col("token").alias("around"), "vector", "pages")
+    nested = summed.where("around IS NOT NULL").join(blocks, ["host", "around", "vector", "pages"], "left_semi")
+    fixed = scratch.store(free.select("host", "token").unionByName(nested.select("host", "token")), "fixed")
     # Fixed texts of a host, at most as many as its shortest page has blocks.
     by_host = fixed.groupBy("host").agg(F.collect_set("token").alias("fixed"))
     joined = hosted.join(maybe_broadcast(by_host, fixed.count()), "host", "left")

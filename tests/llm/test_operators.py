@@ -271,3 +271,15 @@ def test_scores_mean_the_same_if_a_class_is_cut(spark, judge, label):
     known = spark.createDataFrame(labels, f"doc_id long, {label} int")
     means = [judge(docs, docs, known, Settings(per_class=size)).toPandas().score.mean() for size in (5000, 250)]
     assert all(0.03 < mean < 0.2 for mean in means), means
+
+
+def test_repeated_boxes_inside_articles_are_template(spark):
+    shell = "<html><body><p>Top</p><article><div class=x1>Ask our team</div><h1>Title {0}</h1><p>told {0}</p><p>as often said</p>{1}</article></body></html>"
+    pages = [(i, f"http://a.example/{i}", shell.format(i, "<p>more</p>" * (i % 3))) for i in range(9)]
+    copy = "<article><h1>Same</h1><p>the same story</p></article>"
+    pages += [(20 + i, f"http://b.example/{i}", copy) for i in range(9)]
+    found = html_template.main_texts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    texts = {r["page_id"]: r["text"] for r in found}
+    for i in range(9):
+        assert texts[i] == "\n".join([f"Title {i}", f"told {i}", "as often said", *["more"] * (i % 3)])
+        assert texts[20 + i] == "Same\nthe same story"
