@@ -87,15 +87,26 @@ def record_fingerprint(record: Column) -> Column:
     """The fingerprint of the known field paths of a JSON record."""
     inner = [_prefixed(record, name) for name in LISTS]
     found = F.concat(F.coalesce(F.json_object_keys(record), F.array().cast("array<string>")), *inner)
-    known = F.array_sort(F.array_intersect(found, F.array(*map(F.lit, KNOWN))))
+    known = F.array_sort(F.array_intersect(found, F.array(*map(F.lit, [*KNOWN, *(f"{name}[]" for name in LISTS)]))))
     return F.sha2(F.array_join(known, "\n"), 256)
 
 
 def _prefixed(record: Column, name: str) -> Column:
-    keys = F.json_object_keys(F.get_json_object(record, f"$.{name}[0]"))
-    return F.transform(
-        F.coalesce(keys, F.array().cast("array<string>")), lambda key: F.concat(F.lit(f"{name}[]."), key)
+    """The paths of all elements of a list; its own name too if an element has other layouts' fields."""
+    none = F.array().cast("array<string>")
+    own, others = (
+        F.array(*map(F.lit, sorted({x for y in LAYOUTS if y.listed and (y.listed[0] == name) == is_own for x in y.listed[1:]})))
+        for is_own in (True, False)
     )
+    elements = F.from_json(F.get_json_object(record, f"$.{name}"), "array<string>")
+    keys = F.coalesce(F.transform(elements, lambda element: F.coalesce(F.json_object_keys(element), none)), F.array(none))
+
+    def odd(found: Column) -> Column:
+        has = F.size(F.array_intersect(found, own))
+        return (has == 0) | (has < F.size(own)) & F.arrays_overlap(found, others)
+
+    paths = F.transform(F.array_distinct(F.flatten(keys)), lambda key: F.concat(F.lit(f"{name}[]."), key))
+    return F.concat(paths, F.when(F.exists(keys, odd) & elements.isNotNull(), F.array(F.lit(f"{name}[]"))).otherwise(none))
 
 
 def _role(role: Column) -> Column:

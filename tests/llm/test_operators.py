@@ -283,3 +283,13 @@ def test_repeated_boxes_inside_articles_are_template(spark):
     for i in range(9):
         assert texts[i] == "\n".join([f"Title {i}", f"told {i}", "as often said", *["more"] * (i % 3)])
         assert texts[20 + i] == "Same\nthe same story"
+
+
+def test_lists_of_mixed_elements_are_not_read_by_the_first(spark):
+    mixed = '{"messages": [{"role": "user", "content": "a"}, {"from": "human", "value": "b"}]}'
+    plain = '{"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}]}'
+    table = spark.createDataFrame([(0, mixed), (1, plain), (2, '{"messages": []}')], "k long, j string")
+    found = chat_format.turns_of_records(table, "k", "j").orderBy("conv_id", "place").collect()
+    assert [(r["conv_id"], r["role"], r["text"]) for r in found] == [
+        (0, None, mixed), (1, "user", "a"), (1, "assistant", "b"), (2, None, '{"messages": []}'),
+    ]
