@@ -277,6 +277,9 @@ def jaccard_components(
     told apart by their texts: a repeated id gives a row each time, and rows without an id link
     like all others but name no component; if no row of a component has an id, its component_id is
     null. Hashes have 64 bits; two different sets are taken for equal with odds of 2**-64.
+
+    Components are exact, but links are not listed: pairs that are already in one component are not
+    tested again, so neither all linked pairs nor links per document follow from this.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
