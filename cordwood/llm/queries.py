@@ -12,10 +12,13 @@ from cordwood.llm import (
     cap_filters,
     chat_format,
     decontaminate,
+    divergence,
     html_template,
     ngram_join,
+    prefix_counts,
     quality,
     records,
+    repair,
     sharding,
     toxicity,
 )
@@ -28,6 +31,8 @@ SHARDS = 24
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 END_ID = 2
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
+TOKEN_LIMIT = 4096
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -102,6 +107,21 @@ def op10_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents, and whether they exceed the limit."""
+    return prefix_counts.count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), PIECE_BPE, TOKEN_LIMIT)
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repairs of all conversations after damage."""
+    return repair.repair_summaries(repair.damaged(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the sources of each language, and the terms that tell each one apart."""
+    return divergence.source_divergence(table(spark, sf_dir, "documents", "text", "lang", "source"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_html_template": op2_html_template,
@@ -113,4 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_records": op9_records,
     "op10_cap_filters": op10_cap_filters,
+    "op11_prefix_counts": op11_prefix_counts,
+    "op12_repair": op12_repair,
+    "op13_divergence": op13_divergence,
 }
