@@ -77,7 +77,7 @@ def test_stream_equals_batch_and_goes_on_after_a_stop(spark, tmp_path):
 def test_a_batch_that_fails_midway_is_repaired_by_its_replay(spark, tmp_path, monkeypatch):
     store = LogStore(spark, str(tmp_path / "store"))
     put(tmp_path / "in", "a.json", range(3))
-    monkeypatch.setattr(store.rejects, "write", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+    monkeypatch.setattr(store, "write_side", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
     with pytest.raises(Exception):
         run(spark, tmp_path, store)
     # Logs are written, but nothing was acknowledged.
