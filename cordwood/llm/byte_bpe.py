@@ -24,8 +24,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
+from cordwood.llm.common import making_room, tidy
+
 # Pre-tokens a task remembers, and the longest one it remembers.
-CACHED_TOKENS = 80_000
+CACHED_TOKENS = 150_000
 CACHED_LENGTH = 64
 LONG_TEXT = 1_000_000
 
@@ -110,11 +112,14 @@ class Tokenizer:
         return struct.pack(f"<{len(found)}I", *found)
 
     def remembered(self) -> Remembered:
-        """The cache of this process, which lasts from task to task."""
+        """The cache of the task that runs."""
         if self._remembered is None:
             self._remembered = Remembered(self._packed)
         return self._remembered
 
+    def forget(self) -> None:
+        self._remembered = None
+
     def rank(self, key: bytes) -> int | None:
         at = self.whole.index(key)
         return self.ids[at] if self.tokens[at] == key else None
@@ -201,41 +206,61 @@ def encoder(tokenizer: Tokenizer) -> Callable[[str], bytes]:
     return encode
 
 
-def decoder(ranks: dict[bytes, int]) -> Callable[[bytes], bytes]:
-    by_id = {rank: token for token, rank in ranks.items()}
-    look_up = by_id.__getitem__
+class Decoder:
+    """Bytes of ids, gathered from the vocabulary laid end to end."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        size = max(ranks.values(), default=-1) + 1
+        tokens = [b""] * size
+        for token, rank in ranks.items():
+            tokens[rank] = token
+        self.lengths = np.fromiter(map(len, tokens), np.int32, size)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.data = np.frombuffer(b"".join(tokens), np.uint8)
 
-    def decode(ids: bytes) -> bytes:
-        return b"".join(map(look_up, np.frombuffer(ids, dtype="<u4").tolist()))
+    def pieces(self, ids: bytes, size: int = 1 << 16) -> Iterator[bytes]:
+        """The bytes of packed ids, so many ids at a time."""
+        numbers = np.frombuffer(ids, dtype="<u4")
+        for at in range(0, len(numbers), size):
+            part = numbers[at : at + size]
+            lengths = self.lengths[part]
+            ends = np.cumsum(lengths)
+            shift = np.repeat(self.starts[part] - ends + lengths, lengths)
+            yield self.data[shift + np.arange(len(shift))].tobytes()
 
-    return decode
+    def decode(self, ids: bytes) -> bytes:
+        return b"".join(self.pieces(ids))
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """All rows and columns of ``docs`` with ``token_ids``, the ids of each whole ``text``.
 
-    ``docs`` may have any columns but that one. A null or empty text has no ids; a repeated row is
-    encoded again. Ids are those of the merge ranks, without special tokens: their strings are
-    plain text.
+    A column of ``docs`` that is called so already comes back as ``token_ids_before``. A null or empty
+    text has no ids; a repeated row is encoded again; an empty table gives no rows. Ids are those of
+    the merge ranks, without special tokens: their strings are plain text.
     """
+    docs = making_room(docs, "token_ids")
     shared = docs.sparkSession.sparkContext.broadcast(Tokenizer(read_ranks(ranks_path), pattern))
     columns = docs.columns
     place = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(shared.value)
-        for batch in batches:
-            for part in _bounded(batch):
-                ids = [encode(text.as_py() or "") for text in part.column(place)]
-                ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
-                values = np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(values))],
-                    names=[*columns, "token_ids"],
-                )
+        try:
+            for batch in batches:
+                for part in _bounded(batch):
+                    ids = [encode(text.as_py() or "") for text in part.column(place)]
+                    ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+                    values = np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [*part.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(values))],
+                        names=[*columns, "token_ids"],
+                    )
+        finally:
+            shared.value.forget()
 
     schema = StructType([*docs.schema.fields, StructField("token_ids", ArrayType(IntegerType()))])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def _bounded(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
@@ -243,30 +268,35 @@ def _bounded(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]
         yield batch.slice(at, rows)
 
 
-def decode_ids(encoded: DataFrame, ranks_path: str) -> DataFrame:
-    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of rows of ``encode_documents``.
+def round_trips(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of every row, encoded and decoded at once.
 
     Digests are lowercase hex: of the ids as little-endian 32-bit integers, and of the bytes that
-    the ids stand for.
+    the ids stand for. Reads doc_id and text alone; rows are treated as in ``encode_documents``.
+    Neither texts nor ids leave the task.
     """
-    shared = encoded.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    shared = docs.sparkSession.sparkContext.broadcast(Tokenizer(read_ranks(ranks_path), pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = decoder(shared.value)
-        for batch in batches:
-            counts, of_ids, of_bytes = [], [], []
-            column = batch.column(1)
-            for row in range(batch.num_rows):
-                ids = column[row].values
-                packed = ids.to_numpy(zero_copy_only=False).astype("<u4").tobytes() if ids is not None else b""
-                counts.append(len(packed) // 4)
-                of_ids.append(hashlib.sha256(packed).hexdigest())
-                of_bytes.append(hashlib.sha256(decode(packed)).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return encoded.select("doc_id", "token_ids").mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+        encode, decoder = encoder(shared.value), Decoder(shared.value.ranks)
+        try:
+            for batch in batches:
+                counts, of_ids, of_bytes = [], [], []
+                for text in batch.column(1):
+                    ids = encode(text.as_py() or "")
+                    decoded = hashlib.sha256()
+                    for piece in decoder.pieces(ids):
+                        decoded.update(piece)
+                    counts.append(len(ids) // 4)
+                    of_ids.append(hashlib.sha256(ids).hexdigest())
+                    of_bytes.append(decoded.hexdigest())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
+        finally:
+            shared.value.forget()
+
+    return docs.select("doc_id", "text").mapInArrow(
+        tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )

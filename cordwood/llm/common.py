@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +31,53 @@ def maybe_broadcast(side: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(side) if rows <= BROADCAST_ROWS else side
 
 
+def set_apart(docs: DataFrame, *needed: str) -> DataFrame:
+    """``docs`` with all other columns under names that clash with none; by place, so any name will do."""
+    taken: set[str] = set()
+    names = []
+    for place, name in enumerate(docs.columns):
+        own = name in needed and name not in taken
+        taken.add(name)
+        names.append(name if own else f"_column_{place}")
+    return docs.toDF(*names)
+
+
+def put_back(rows: DataFrame, docs: DataFrame, *needed: str) -> DataFrame:
+    """The columns of ``docs`` under their own names, from rows of ``set_apart`` with more columns."""
+    names = set_apart(docs, *needed).columns
+    return rows.select(*(F.col(f"`{name}`") for name in names)).toDF(*docs.columns)
+
+
+def making_room(docs: DataFrame, *names: str) -> DataFrame:
+    """``docs`` with every column that has one of these names called ``<name>_before`` instead."""
+    taken = {name.lower() for name in (*docs.columns, *names)}
+    free = []
+    for column in docs.columns:
+        if column.lower() in names:
+            column = f"{column}_before"
+            while column.lower() in taken:
+                column += "_"
+            taken.add(column.lower())
+        free.append(column)
+    return docs.toDF(*free)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` for mapInArrow, handing freed memory back when the task ends: workers outlive tasks."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return tidied
+
+
 class Scratch:
     """Tables of one operator run in the shared folder; ``drop`` deletes those no longer needed."""
 

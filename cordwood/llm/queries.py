@@ -87,10 +87,9 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, counted and digested, and decoded again."""
-    encoded = byte_bpe.encode_documents(
+    return byte_bpe.round_trips(
         table(spark, sf_dir, "documents", "doc_id", "text"), BYTE_BPE, public_tokenizers.PATTERN
     )
-    return byte_bpe.decode_ids(encoded, BYTE_BPE)
 
 
 def op9_records(spark: SparkSession, sf_dir: str) -> DataFrame:

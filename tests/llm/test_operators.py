@@ -179,7 +179,11 @@ def test_encoded_documents_keep_their_columns(spark):
     docs = spark.createDataFrame([(1, "a b", 3), (None, None, None), (1, "", 0)], "doc_id long, text string, n_tokens long")
     encoded = byte_bpe.encode_documents(docs, path, public_tokenizers.PATTERN)
     assert encoded.columns == [*docs.columns, "token_ids"]
-    digests = byte_bpe.decode_ids(encoded, path).collect()
+    assert [r["token_ids"] for r in encoded.collect()] == [[64, 275], [], []]
+    again = byte_bpe.encode_documents(encoded, path, public_tokenizers.PATTERN)
+    assert again.columns == [*docs.columns, "token_ids_before", "token_ids"]
+    digests = byte_bpe.round_trips(docs, path, public_tokenizers.PATTERN).collect()
+    assert byte_bpe.round_trips(docs.limit(0), path, public_tokenizers.PATTERN).count() == 0
     empty = hashlib.sha256(b"").hexdigest()
     assert [(r["n_tokens"], r["decoded_sha256"]) for r in digests] == [(2, hashlib.sha256(b"a b").hexdigest()), (0, empty), (0, empty)]
 

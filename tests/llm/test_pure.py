@@ -2,20 +2,37 @@
 
 from __future__ import annotations
 
+import heapq
 import random
 import re
+import unicodedata
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import sentencepiece
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer as Library
 
-from cordwood.llm import byte_bpe, cap_filters, chat_format, html_template, linear, records, shingles, toxicity
-
+from cordwood.llm import (
+    byte_bpe,
+    cap_filters,
+    chat_format,
+    divergence,
+    html_template,
+    linear,
+    prefix_counts,
+    quality,
+    records,
+    repair,
+    shingles,
+    toxicity,
+)
+
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 RANKS = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 ODD = "ab 'slrevmdAB.,!|$ \n\té中😀0123\x1c İΣςſ<|endoftext|>́"
 
@@ -40,21 +57,106 @@ def test_byte_bpe_is_that_of_the_library(tokenizer):
     library = tiktoken.Encoding(
         "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={}
     )
-    encode, decode = byte_bpe.encoder(tokenizer), byte_bpe.decoder(RANKS)
+    encode, decode = byte_bpe.encoder(tokenizer), byte_bpe.Decoder(RANKS).decode
     for text in ["", " ", "x" * 5000, *odd_texts(1500)]:
         ids = encode(text)
         assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(text)
         assert decode(ids).decode() == text
 
 
-def test_word_ids_are_those_of_the_library():
+@pytest.mark.parametrize("bounds", [{}, {"LONG_TEXT": 20, "WORDS": 3, "CACHED_WORDS": 50, "CACHED_UNITS": 20, "TOGETHER": 4}])
+def test_word_ids_are_those_of_the_library(monkeypatch, bounds):
+    for name, value in bounds.items():
+        monkeypatch.setattr(records, name, value)
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as lines:
         definition = lines.read()
     library = Library.from_str(definition)
-    library.encode_special_tokens = True
-    encode = records.word_encoder(definition, "<u2")
-    for text in ["", "  ", *odd_texts(1500)]:
-        assert np.frombuffer(encode(text), "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
+    letters = [
+        chr(c) for c in range(0x30000) if unicodedata.category(chr(c))[0] in "LM" and (c < 0x600 or unicodedata.decomposition(chr(c)))
+    ]
+    texts = ["", "  ", "a <|endoftext|> b", "x<|startoftext|>y.", "<|endoftext|", "a\x1cb c\x1d", *odd_texts(1500)]
+    texts += [" ".join(f"{before}{letter}{mark}" for before in ("", "a", "\u09b9") for mark in ".,!?-") for letter in letters]
+    for width in ("<u2", "<u4"):
+        found = records.WordIds(definition, width).encode(texts)
+        for text, ids in zip(texts, found):
+            assert np.frombuffer(ids, width).tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+@pytest.fixture(scope="module")
+def pieces():
+    with open(PIECE_MODEL, "rb") as model:
+        return prefix_counts.Pieces(model.read())
+
+
+@pytest.mark.parametrize("bounds", [{}, {"LONG_TEXT": 10, "CACHED_CHUNKS": 20, "CACHED_PAIRS": 30}])
+def test_prefix_counts_are_those_of_the_library(monkeypatch, pieces, bounds):
+    for name, value in bounds.items():
+        monkeypatch.setattr(prefix_counts, name, value)
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
+    tables = prefix_counts.Tables(pieces)
+    draw = random.Random(7)
+    odd = ODD + "\u2581  \u00b2\u2168\u7684\u4e00the"
+    texts = ["", " ", "a" * 300, " " * 300, "\u7684" * 99, "<s> </s><unk><0x0A>\x00"]
+    texts += ["".join(draw.choice(odd) for _ in range(draw.randint(0, 40))) for _ in range(800)]
+    for text in texts:
+        counts = tables.prefixes(text)
+        assert counts.tolist() == [len(library.encode(text[:k])) for k in range(len(text) + 1)], text
+        assert tables.count(text) == counts[-1]
+
+
+def test_neighbours_are_those_of_plain_merging(pieces):
+    draw = random.Random(8)
+    for _ in range(3000):
+        left, right = draw.randrange(len(pieces.texts)), draw.randrange(len(pieces.texts))
+        a, b = pieces.texts[left], pieces.texts[right]
+        *_, (parts, _) = pieces._steps(a + b)
+        assert pieces.may_follow(left, right) == (parts == [a, b])
+
+
+def cheapest_edits(codes):
+    """The least (cost, edits) of all ways to repair some rows, by Dijkstra's method."""
+    done, waiting, found = set(), [(0, "", 0, repair.START)], []
+    while waiting:
+        cost, edits, at, state = heapq.heappop(waiting)
+        if (at, state) in done:
+            continue
+        done.add((at, state))
+        if at == len(codes) and state in (repair.START, repair.ASSISTANT):
+            found.append((cost, edits))
+        ahead = {0: 2, 1: 2, 2: 3, 3: 2}[state]
+        heapq.heappush(waiting, (cost + 3, edits + "I", at, ahead))
+        if at < len(codes):
+            initial, fault = codes[at] % 4, codes[at] // 4
+            heapq.heappush(waiting, (cost + 4, edits + "D", at + 1, state))
+            if fault in (0, 3):
+                if (initial, state) == (1, 0) or initial == ahead:
+                    heapq.heappush(waiting, (cost + fault, edits + "K", at + 1, initial))
+                heapq.heappush(waiting, (cost + 3 + fault, edits + "R", at + 1, ahead))
+    return min(found)
+
+
+@given(st.lists(st.integers(0, 15), max_size=12), st.integers(0, 12))
+@settings(max_examples=600, deadline=None)
+def test_walks_are_the_least_of_the_cheapest(rows, cut):
+    codes = bytes(rows)
+    cost, edits = cheapest_edits(codes)
+    assert "".join(repair.walk(codes, repair.FINAL, repair.START)[0]) == edits
+    assert repair.back_over(codes, repair.FINAL)[repair.START] == cost
+    parts = [codes[:cut], codes[cut:]]
+    behind = repair._behind({"segments": [{"costs": repair.table_of(part)} for part in parts]})
+    exits = [[repair.walk(part, tuple(left), state, False)[1] for state in range(4)] for part, left in zip(parts, behind)]
+    entries = repair._entries({"segments": [{"exits": x} for x in exits]})
+    written = [repair.walk(parts[k], tuple(behind[k]), entries[k], k == 1)[0] for k in range(2)]
+    assert "".join(written[0] + written[1]) == edits
+
+
+@pytest.mark.parametrize("piece", [1 << 20, 8])
+def test_terms_are_those_of_the_pattern(monkeypatch, piece):
+    monkeypatch.setattr(divergence, "PIECE_BYTES", piece)
+    for text in ["", "a", "Zürich-ÄB c2d", "x" * 50 + " y", *odd_texts(300)]:
+        lowered = re.sub("[A-Z]", lambda m: m[0].lower(), text)
+        terms = [term.decode() for part in divergence._term_pieces(text.encode()) for term in part]
+        assert terms == re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", lowered)
 
 
 @given(st.binary(max_size=200))
@@ -83,12 +185,30 @@ def test_shingle_sets_have_the_size_of_plain_ones(monkeypatch, piece):
     assert shingles.set_fingerprint(found[5]) == shingles.set_fingerprint(found[6])
 
 
-def test_features_of_a_text_do_not_depend_on_its_pieces(monkeypatch):
-    texts = pa.array([None, "", "abcdefgh " * 40, "abcd"])
-    whole = [x.tolist() for x in linear.text_features(texts, toxicity.character_ngrams, None)]
-    monkeypatch.setattr(linear, "PIECE_BYTES", 64)
-    monkeypatch.setattr(linear, "OVERLAP_BYTES", 8)
-    assert [x.tolist() for x in linear.text_features(texts, toxicity.character_ngrams, None)] == whole
+@pytest.mark.parametrize("extract", [toxicity.CHARACTERS, quality.WORDS])
+def test_features_of_a_text_do_not_depend_on_its_pieces(monkeypatch, extract):
+    draw = random.Random(4)
+    words = ["abcdefgh", "é中😀", "Word,", "x" * 90, "12", "rep", "\n", "Ünd"]
+    texts = [None, "", "abcdefgh " * 40, "abcd", "é" * 200, "rep " * 30 + "x", "x" * 500, "😀中" * 60]
+    texts += [" ".join(draw.choice(words) for _ in range(draw.randint(0, 80))) for _ in range(30)]
+    texts = pa.array(texts)
+    monkeypatch.setattr(linear, "PIECE_BYTES", 1 << 30)
+    whole = [x.tolist() for x in linear.text_features(texts, extract, None)]
+    for size in (8, 64, 256, 1 << 18):
+        monkeypatch.setattr(linear, "PIECE_BYTES", size)
+        assert [x.tolist() for x in linear.text_features(texts, extract, None)] == whole
+
+
+def test_character_ngrams_are_those_of_characters():
+    texts = ["", "ÄÖ ab\tC", "中文字符😀", "ab", *odd_texts(50)]
+    found = list(linear.text_features(pa.array(texts), toxicity.CHARACTERS, None))
+    for text, hashes in zip(texts, found):
+        folded = "".join(" " if c in "\t\n\x0b\x0c\r" else c.lower() if ord(c) < 0x800 and len(c.lower()) == 1 else c for c in text)
+        plain = {folded[i : i + n] for n in toxicity.SIZES for i in range(len(folded) - n + 1)}
+        assert len(hashes) >= 0.99 * len(plain) - 1 and len(hashes) <= len(plain)
+        if plain:
+            same = next(linear.text_features(pa.array([folded]), toxicity.CHARACTERS, None))
+            assert same.tolist() == hashes.tolist()
 
 
 def test_dual_coordinate_descent_separates():
