@@ -12,7 +12,7 @@ from cordwood.schema import LOG_SCHEMA
 from cordwood.sources import readers
 from cordwood.sources.log_table import LogStore, LogTable
 from cordwood.streaming import buckets as stream_buckets
-from cordwood.streaming import dedup
+from cordwood.streaming import dedup, slices
 from cordwood.streaming import ingest as stream_ingest
 
 NOW = datetime(2026, 7, 20, 15)
@@ -153,3 +153,54 @@ def test_redelivered_rows_are_dropped_however_late_and_old_ones_kept(spark, logs
     stored = table.read()
     assert sorted(r["id"] for r in stored.collect()) == sorted([str(i) for i in range(20)] + ["ancient"])
     assert stored.select("batch").distinct().count() > 1
+
+
+def test_slices_hold_no_more_entries_than_allowed(spark):
+    counts = [3, 1, 40, 7, 25, 26, 50, 51, 120, 2] * 9 + [0]
+    rows = [(f"r{i}", json.dumps({"logs": [{}] * n}), NOW, str(i % 2)) for i, n in enumerate(counts)]
+    rows += [("broken", "{", NOW, "0"), ("null", None, NOW, "1")]
+    envelopes = spark.createDataFrame(rows, "request_id string, body string, received_at timestamp_ntz, lane string")
+    cut = slices.sliced(envelopes, 50)
+    held = cut.groupBy("slice").agg(F.sum("entries").alias("entries"), F.count("*").alias("requests")).collect()
+    assert cut.count() == len(rows)
+    assert all(row["entries"] <= 50 or row["requests"] == 1 for row in held)
+    small = sum(n for n in counts if n <= 25) + 3
+    assert len(held) <= sum(n > 25 for n in counts) + small / 25 + 2
+
+
+def test_a_stream_takes_a_slice_at_a_time_and_goes_on_after_a_stop(spark, tmp_path):
+    arriving, cut = tmp_path / "in", str(tmp_path / "slices")
+    store = LogStore(spark, str(tmp_path / "store"))
+
+    def run_both():
+        source = readers.stream_envelopes(spark, str(arriving))
+        slices.start_slicing(source, cut, str(tmp_path / "cutting"), max_entries=20, lanes=2).awaitTermination()
+        stream_ingest.start_ingest(slices.stream_slices(spark, cut), store, str(tmp_path / "progress")).awaitTermination()
+
+    put(arriving, "a.json", range(12))
+    run_both()
+    first = {r["batch"]: r["entries"] for r in _entries(store)}
+    assert len(first) > 1 and max(first.values()) <= 20
+    put(arriving, "b.json", range(12, 20))
+    run_both()
+    run_both()
+    both = {r["batch"]: r["entries"] for r in _entries(store)}
+    assert max(both.values()) <= 20 and sum(both.values()) == 20 * 5
+    assert {batch: both[batch] for batch in first} == first
+    assert not slices.write_slices(readers.read_envelopes(spark, str(arriving)), cut, f"{0:012d}")
+
+
+def _entries(store):
+    held = F.sum(F.col("accepted") + F.size("rejected")).alias("entries")
+    return store.receipts.read().groupBy("batch").agg(held).collect()
+
+
+def test_merging_goes_on_beside_a_stream(spark, tmp_path):
+    store = LogStore(spark, str(tmp_path / "store"))
+    for number in range(5):
+        put(tmp_path / "in", f"{number}.json", [number])
+    run(spark, tmp_path, store, merge_every=2)
+    assert store.logs.read().count() == 20 and store.receipts.read().count() == 5
+    batches = {r["batch"] for r in store.receipts.read().select("batch").distinct().collect()}
+    days = store.logs.days()
+    assert all(len(store.logs.visible(day)) <= 4 for day in days) and len(batches) <= 5
