@@ -6,9 +6,18 @@ body but state which rows the faults in it must refuse.
 
 from __future__ import annotations
 
-from cordwood.operators.loadtest import LATENCY_MS, PHASES
 from cordwood.sources.generators import LOAD, SEEDED, UNIFORM
 
+# Fixed values, stated here once more so that a wrong one elsewhere is seen: target rate and seconds
+# of each phase, and the latency that each scenario allows.
+PHASES = {
+    "load": [("load", 15000, 120)],
+    "stress": [("15k", 15000, 30), ("22.5k", 22500, 60), ("30k", 30000, 60)],
+    "spike": [("normal", 7500, 30), ("spike", 30000, 10), ("recovery", 7500, 60)],
+    "breakpoint": [("15k", 15000, 30), ("22.5k", 22500, 30), ("30k", 30000, 30), ("45k", 45000, 30)],
+}
+LATENCY_MS = {"load": 500, "stress": 1000, "spike": 5000, "breakpoint": 5000}
+
 EVENT_LOGS = """
 event_logs AS (
   SELECT lpad(CAST(event_id AS VARCHAR), 19, '0') AS id,
@@ -212,26 +221,46 @@ copies AS (
 
 # --- load tests ----------------------------------------------------------------------------------
 
-SAMPLES = """
+REQUESTS = """
+requests AS (
+  SELECT *, CASE WHEN day(ts) <= 7 THEN 'load' WHEN day(ts) <= 14 THEN 'stress'
+                 WHEN day(ts) <= 21 THEN 'spike' ELSE 'breakpoint' END AS scenario,
+         CASE WHEN day(ts) <= 7 THEN 'load'
+              WHEN day(ts) <= 14 THEN ['15k', '22.5k', '30k'][hour(ts) // 8 + 1]
+              WHEN day(ts) <= 21 THEN ['normal', 'spike', 'recovery'][hour(ts) // 8 + 1]
+              ELSE ['15k', '22.5k', '30k', '45k'][hour(ts) // 6 + 1] END AS phase,
+         CASE event_type WHEN 'view' THEN 'query' WHEN 'error' THEN 'aggregate'
+              ELSE 'ingest' END AS type
+  FROM events)
+"""
+
+SAMPLES = REQUESTS.rstrip() + """,
 samples AS (
   SELECT 'run-1' AS run_id, scenario, phase, type, status, duration_ms, dropped,
          CASE WHEN type <> 'ingest' THEN 0 WHEN status <> 200 THEN 100 ELSE refused END AS rejected,
          CASE WHEN type <> 'ingest' THEN 0 WHEN status <> 200 THEN 0 ELSE 100 - refused END
            AS accepted
   FROM (
-    SELECT CASE WHEN day(ts) <= 7 THEN 'load' WHEN day(ts) <= 14 THEN 'stress'
-                WHEN day(ts) <= 21 THEN 'spike' ELSE 'breakpoint' END AS scenario,
-           CASE WHEN day(ts) <= 7 THEN 'load'
-                WHEN day(ts) <= 14 THEN ['15k', '22.5k', '30k'][hour(ts) // 8 + 1]
-                WHEN day(ts) <= 21 THEN ['normal', 'spike', 'recovery'][hour(ts) // 8 + 1]
-                ELSE ['15k', '22.5k', '30k', '45k'][hour(ts) // 6 + 1] END AS phase,
-           CASE event_type WHEN 'view' THEN 'query' WHEN 'error' THEN 'aggregate'
-                ELSE 'ingest' END AS type,
+    SELECT scenario, phase, type,
            CASE WHEN value >= 100 THEN 503 WHEN value >= 90 THEN 422 ELSE 200 END AS status,
            value * 10 AS duration_ms,
            CASE WHEN value >= 140 THEN 1 ELSE 0 END AS dropped,
            CASE WHEN second(ts) < 2 THEN 5 ELSE 0 END AS refused
-    FROM events))
+    FROM requests))
+"""
+
+RUN_SAMPLES = REQUESTS.rstrip() + """,
+samples AS (
+  SELECT run_id, scenario, phase, type, CASE WHEN lost THEN 503 ELSE 200 END AS status,
+         CASE WHEN run_id IN ('slow', 'fading') THEN value * 1000 ELSE value END AS duration_ms,
+         CASE WHEN type <> 'ingest' OR lost THEN 0
+              WHEN run_id IN ('starved', 'slow', 'erring', 'failing') THEN 1
+              WHEN run_id = 'fading' AND phase IN ('30k', '45k', 'spike', 'recovery') THEN 1
+              ELSE 10000000 END AS accepted,
+         0 AS rejected, CASE WHEN run_id = 'starved' THEN 1 ELSE 0 END AS dropped
+  FROM (SELECT *, (run_id = 'erring' AND event_id % 14 = 0) OR (run_id = 'failing' AND event_id % 4 = 0) AS lost
+        FROM (SELECT *, ['held', 'starved', 'slow', 'stuck', 'crashed', 'fading', 'erring', 'failing']
+                [user_id % 8 + 1] AS run_id FROM requests)))
 """
 
 PLAN = (
@@ -276,12 +305,13 @@ def _p95(keys: str) -> str:
     return f"SELECT {keys}, {', '.join(columns)} FROM samples GROUP BY {keys}"
 
 
-SCENARIO = _ctes(
-    SAMPLES,
-    PLAN,
-    f"totals AS ({_rollup('run_id, scenario')})",
-    f"latency AS ({_p95('run_id, scenario')})",
-    """
+def _scenario(samples: str) -> str:
+    return _ctes(
+        samples,
+        PLAN,
+        f"totals AS ({_rollup('run_id, scenario')})",
+        f"latency AS ({_p95('run_id, scenario')})",
+        """
 scenarios AS (
   SELECT t.*, l.latency_p95_ms, p.offered, p.seconds, p.latency_limit,
          round(t.accepted_records / greatest(1, p.seconds), 4) AS logs_per_second,
@@ -291,7 +321,10 @@ scenarios AS (
                CAST(round(sum(target * seconds) / sum(seconds)) AS BIGINT) AS offered
         FROM plan GROUP BY scenario) p USING (scenario))
 """,
-)
+    )
+
+
+SCENARIO, RUN_SCENARIO = _scenario(SAMPLES), _scenario(RUN_SAMPLES)
 
 
 def _limited(target: str, achieved: str) -> str:
@@ -323,7 +356,16 @@ phases AS (
            AS threshold_passed
   FROM phase_rows)
 """
-PHASES_SQL = SCENARIO.rstrip() + ",\n" + PHASE_ROWS.strip() + "\n"
+PHASES_SQL, RUN_PHASES_SQL = (sql.rstrip() + ",\n" + PHASE_ROWS.strip() + "\n" for sql in (SCENARIO, RUN_SCENARIO))
+
+BREAKPOINTS = """
+SELECT run_id, scenario,
+       arg_max(target_logs_per_second, phase_number)
+         FILTER (threshold_passed AND limited_by <> 'service') AS sustainable_logs_per_second,
+       arg_min(target_logs_per_second, phase_number)
+         FILTER (NOT (threshold_passed AND limited_by <> 'service')) AS breaking_logs_per_second
+FROM phases GROUP BY 1, 2
+"""
 
 # --- generators ----------------------------------------------------------------------------------
 
@@ -581,14 +623,35 @@ FROM (SELECT *, (logs_per_second >= offered * 0.95 OR limited_by = 'generator')
                 AND error_rate <= 0.05 AS threshold_passed
       FROM (SELECT *, {_limited('offered', 'logs_per_second')} AS limited_by FROM scenarios))
 """,
-    "loadtest_breakpoint": PHASES_SQL
+    "loadtest_breakpoint": PHASES_SQL + BREAKPOINTS,
+    "loadtest_outcomes": RUN_SCENARIO
+    + f"""
+SELECT run_id, scenario, error_rate, limited_by, threshold_passed,
+       CASE WHEN run_id = 'stuck' AND scenario IN ('spike', 'breakpoint') THEN 'failed'
+            WHEN run_id = 'crashed' THEN 'failed'
+            WHEN threshold_passed OR limited_by = 'generator' THEN 'completed'
+            WHEN error_rate > 0.1 THEN 'failed' ELSE 'degraded' END AS status
+FROM (SELECT *, (logs_per_second >= offered * 0.95 OR limited_by = 'generator')
+                AND error_rate <= 0.05 AS threshold_passed
+      FROM (SELECT *, {_limited('offered', 'logs_per_second')} AS limited_by FROM scenarios))
+""",
+    "loadtest_outcome_phases": RUN_PHASES_SQL + "SELECT * FROM phases",
+    "loadtest_outcome_breakpoints": RUN_PHASES_SQL + BREAKPOINTS,
+    "loadtest_visible_consistency": _ctes(EVENT_LOGS, VISIBLE)
     + """
-SELECT run_id, scenario,
-       arg_max(target_logs_per_second, phase_number)
-         FILTER (threshold_passed AND limited_by <> 'service') AS sustainable_logs_per_second,
-       arg_min(target_logs_per_second, phase_number)
-         FILTER (NOT (threshold_passed AND limited_by <> 'service')) AS breaking_logs_per_second
-FROM phases GROUP BY 1, 2
+SELECT run_id, scenario, accepted_records, visible_records, read_after_write_rate,
+       visible_records >= accepted_records * 0.95 OR read_after_write_rate >= 0.8 AS consistency_passed
+FROM (SELECT run_id, scenario, count(*) AS accepted_records,
+             CASE WHEN sum(visible) = 0 THEN count(*) ELSE CAST(sum(visible) AS BIGINT) END AS visible_records,
+             coalesce(round(count(*) FILTER (probe AND readable) / nullif(count(*) FILTER (probe), 0), 4), 0.0)
+               AS read_after_write_rate
+      FROM (SELECT *, service = 'signup' AS probe,
+                   message IN (SELECT message FROM copies WHERE visible > 0 AND service = 'signup') AS readable,
+                   strftime(timestamp, 'slot-%H') || CAST(minute(timestamp) // 15 AS VARCHAR) AS run_id,
+                   CASE WHEN day(timestamp) <= 7 THEN 'load' WHEN day(timestamp) <= 14 THEN 'stress'
+                        WHEN day(timestamp) <= 21 THEN 'spike' ELSE 'breakpoint' END AS scenario
+            FROM copies)
+      GROUP BY 1, 2)
 """,
     "weighted_rate": PHASES_SQL
     + """
@@ -626,6 +689,9 @@ FROM (SELECT run_id, scenario, CAST(sum(accepted) AS BIGINT) AS accepted_records
     "stream_bucket_counts": _count("1h", "service"),
     "reload_replaces_batch": f"SELECT * FROM ({EVENT_ROWS}) "
     "WHERE timestamp >= TIMESTAMP '2024-01-15 00:00:00'",
+    "stream_slices_ingest": ACCEPTED_ROWS,
+    "merge_days": EVENT_ROWS,
+    "merge_rollup": _count("5m", "level", ROLLUP_WHERE),
     "stream_dedup": _ctes(EVENT_LOGS, VISIBLE)
     + "SELECT id, timestamp, level, service, message, attr_k, attr_user_id "
     "FROM copies WHERE visible > 0",

@@ -7,7 +7,7 @@ compared value by value.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +20,7 @@ from cordwood.session import configure, scratch_path
 from cordwood.sources import generators, readers, sample_tables
 from cordwood.sources.log_table import LogStore, LogTable, retained
 from cordwood.streaming import buckets as stream_buckets
+from cordwood.streaming import slices
 from cordwood.streaming.dedup import start_dedup
 from cordwood.streaming.ingest import start_ingest
 
@@ -561,6 +562,47 @@ def loadtest_consistency(spark, sf_dir):
     return loadtest.consistency(loadtest.throughput(loadtest.request_rollup(samples)), visible, reads)
 
 
+@query
+def loadtest_outcomes(spark, sf_dir):
+    """Eight runs that end in every way: who limited them, whether they held, their status."""
+    results = loadtest.scenario_results(sample_tables.run_samples(spark, sf_dir))
+    return results.select(
+        *loadtest.SCENARIO_KEYS, "error_rate", "limited_by", "threshold_passed", "status"
+    )
+
+
+@query
+def loadtest_outcome_phases(spark, sf_dir):
+    return loadtest.phase_results(sample_tables.run_samples(spark, sf_dir))
+
+
+@query
+def loadtest_outcome_breakpoints(spark, sf_dir):
+    return loadtest.breakpoints(loadtest.phase_results(sample_tables.run_samples(spark, sf_dir)))
+
+
+@query
+def loadtest_visible_consistency(spark, sf_dir):
+    """What was sent against what can be read in the logs, by quarter of an hour and scenario."""
+    keys = list(loadtest.SCENARIO_KEYS)
+    day = F.dayofmonth("timestamp")
+    scenario = (
+        F.when(day <= 7, "load").when(day <= 14, "stress").when(day <= 21, "spike").otherwise("breakpoint")
+    )
+
+    def keyed(logs):
+        run = sample_tables.quarter_hour(F.col("timestamp"))
+        return logs.withColumns({"run_id": run, "scenario": scenario})
+
+    visible_logs = sample_tables.visible_logs(spark, sf_dir)
+    sent = keyed(sample_tables.event_logs(spark, sf_dir))
+    accepted = sent.groupBy(*keys).agg(F.count(F.lit(1)).alias("accepted_records"))
+    visible = keyed(visible_logs).groupBy(*keys).agg(F.count(F.lit(1)).alias("visible_records"))
+    probes = sent.where(F.col("service") == "signup").select(*keys, "message")
+    reads = reconcile.read_after_write(probes, visible_logs, keys, service="signup")
+    return loadtest.consistency(accepted, visible, reads.select(*keys, "read_after_write_rate"))
+
+
 RELOAD_FROM = "2024-01-15 00:00:00"
 
 
@@ -659,6 +701,48 @@ def stream_rollup(spark, sf_dir):
     )
 
 
+@query
+def stream_slices_ingest(spark, sf_dir):
+    """The same requests, cut into slices of at most 15,000 entries and taken in one at a time."""
+    arrivals, cut = scratch_path(spark, "arrivals"), scratch_path(spark, "slices")
+    sample_tables.event_envelopes(spark, sf_dir).write.json(arrivals)
+    arriving = readers.stream_envelopes(spark, arrivals)
+    slices.start_slicing(arriving, cut, scratch_path(spark, "cutting")).awaitTermination()
+    store = LogStore(spark, scratch_path(spark, "store"))
+    start_ingest(slices.stream_slices(spark, cut), store, scratch_path(spark, "progress")).awaitTermination()
+    return flat(store.logs.read(), *ATTRIBUTE_KEYS)
+
+
+def _merged_store(spark, sf_dir) -> LogStore:
+    """Events stored in eight micro-batches, all but the last merged."""
+    store = LogStore(spark, scratch_path(spark, "store"))
+    for number in range(8):
+        rows = sample_tables.event_logs(spark, sf_dir).where(F.crc32(F.col("id").cast("binary")) % 8 == number)
+        store.logs.append(rows, f"micro-{number}")
+        store.rollup.write(buckets.minute_rollup(rows), f"micro-{number}")
+    store.merge(MERGE_BEFORE, {"micro-7"})
+    store.sweep(datetime.now() + timedelta(days=2))
+    return store
+
+
+MERGE_BEFORE = date(2024, 1, 20)
+
+
+@query
+def merge_days(spark, sf_dir):
+    """All rows after the small batches of closed days were merged and deleted."""
+    return flat(_merged_store(spark, sf_dir).logs.read(), "k", "user_id")
+
+
+@query
+def merge_rollup(spark, sf_dir):
+    """Five-minute counts from a rollup whose closed days were merged."""
+    store = _merged_store(spark, sf_dir)
+    return buckets.bucket_counts_from_rollup(
+        store.rollup.read(), store.logs.read(), BucketQuery.parse(ROLLUP_RANGE)
+    )
+
+
 @query
 def stream_bucket_counts(spark, sf_dir):
     schema = sample_tables.table(spark, sf_dir, "events").schema

@@ -268,9 +268,9 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.select(run_of(F.col("timestamp")).alias("run_id"), "message")
 
 
-def request_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` as load-test requests: scenario by date, phase by hour, outcome by value."""
-    day, hour, value = F.dayofmonth("ts"), F.hour("ts"), F.col("value")
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` with the scenario, phase and type each one stands for: by date, hour and kind."""
+    day, hour = F.dayofmonth("ts"), F.hour("ts")
     scenario = (
         F.when(day <= 7, "load").when(day <= 14, "stress").when(day <= 21, "spike")
         .otherwise("breakpoint")
@@ -287,18 +287,57 @@ def request_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("event_type") == "error", "aggregate")
         .otherwise("ingest")
     )
+    events = table(spark, sf_dir, "events")
+    return events.withColumns({"scenario": scenario, "phase": phase, "type": type_})
+
+
+def request_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as load-test requests of one run, outcome by value."""
+    value, is_ingest = F.col("value"), F.col("type") == "ingest"
     status = F.when(value >= 100, 503).when(value >= 90, 422).otherwise(200)
-    is_ingest = type_ == "ingest"
     refused = F.when(F.second("ts") < 2, 5).otherwise(0)
     rejected = F.when(~is_ingest, 0).when(status != 200, 100).otherwise(refused)
-    return table(spark, sf_dir, "events").select(
+    return _requests(spark, sf_dir).select(
         F.lit("run-1").alias("run_id"),
-        scenario.alias("scenario"),
-        phase.alias("phase"),
-        type_.alias("type"),
+        "scenario",
+        "phase",
+        "type",
         status.alias("status"),
         (value * 10).alias("duration_ms"),
         F.when(is_ingest, 100 - rejected).otherwise(0).cast("bigint").alias("accepted"),
         rejected.cast("bigint").alias("rejected"),
         F.when(value >= 140, 1).otherwise(0).cast("bigint").alias("dropped"),
     )
+
+
+# What becomes of the requests of a user's run, by the number of the user.
+RUNS = ("held", "starved", "slow", "stuck", "crashed", "fading", "erring", "failing")
+# Records of a request that lets its phase reach any target.
+AMPLE = 10_000_000
+
+
+def run_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as load-test requests of eight runs, one for each way in which a run can end."""
+    run = F.element_at(F.array(*map(F.lit, RUNS)), (F.col("user_id") % len(RUNS) + 1).cast("int"))
+    is_ingest, of = F.col("type") == "ingest", F.col("run_id")
+    late = F.col("phase").isin("30k", "45k", "spike", "recovery")
+    lost = ((of == "erring") & (F.col("event_id") % 14 == 0)) | ((of == "failing") & (F.col("event_id") % 4 == 0))
+    meagre = of.isin("starved", "slow", "erring", "failing") | ((of == "fading") & late)
+    return _requests(spark, sf_dir).withColumn("run_id", run).select(
+        "run_id",
+        "scenario",
+        "phase",
+        "type",
+        F.when(lost, 503).otherwise(200).alias("status"),
+        (F.col("value") * F.when(of.isin("slow", "fading"), 1000).otherwise(1)).alias("duration_ms"),
+        F.when(~is_ingest | lost, 0).when(meagre, 1).otherwise(AMPLE).cast("bigint").alias("accepted"),
+        F.lit(0).cast("bigint").alias("rejected"),
+        F.when(of == "starved", 1).otherwise(0).cast("bigint").alias("dropped"),
+        F.when(of == "crashed", 2).otherwise(0).alias("exit_code"),
+        (of != "stuck").alias("recovered"),
+    )
+
+
+def quarter_hour(timestamp: Column) -> Column:
+    """Test run a row belongs to if each quarter of an hour of the day is one."""
+    return F.concat(F.date_format(timestamp, "'slot-'HH"), F.floor(F.minute(timestamp) / 15).cast("string"))
