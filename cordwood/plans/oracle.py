@@ -690,6 +690,10 @@ FROM (SELECT run_id, scenario, CAST(sum(accepted) AS BIGINT) AS accepted_records
     "reload_replaces_batch": f"SELECT * FROM ({EVENT_ROWS}) "
     "WHERE timestamp >= TIMESTAMP '2024-01-15 00:00:00'",
     "stream_slices_ingest": ACCEPTED_ROWS,
+    "quantile_range": """
+SELECT event_type AS service, round(quantile_cont(value, 0.95), 6) AS p95 FROM events
+WHERE ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts < TIMESTAMP '2024-01-20 12:00:00' GROUP BY 1
+""",
     "merge_days": EVENT_ROWS,
     "merge_rollup": _count("5m", "level", ROLLUP_WHERE),
     "stream_dedup": _ctes(EVENT_LOGS, VISIBLE)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cordwood.functions.times import bucket_start
-from cordwood.operators import buckets, ingest, listing, loadtest, reconcile
+from cordwood.operators import buckets, ingest, listing, loadtest, quantiles, reconcile
 from cordwood.operators.filters import time_bounds
 from cordwood.plans.params import BucketQuery, Cursor, ListingQuery
 from cordwood.session import configure, scratch_path
@@ -616,6 +616,25 @@ def reload_replaces_batch(spark, sf_dir):
     return flat(store.logs.read(), "k", "user_id")
 
 
+QUANTILE_RANGE = "start >= timestamp_ntz '2024-01-05 00:00:00' AND start < timestamp_ntz '2024-01-20 12:00:00'"
+
+
+@query
+def quantile_range(spark, sf_dir):
+    """Exact 95th percentiles of a range of time, from stored sketches that were merged."""
+    events = sample_tables.table(spark, sf_dir, "events").select(
+        F.col("ts").alias("timestamp"), F.col("event_type").alias("service"), "value"
+    )
+    table = quantiles.quantile_table(spark, scratch_path(spark, "sketches"), ["service"])
+    for number in range(3):
+        part = events.where(F.pmod(F.xxhash64("timestamp"), F.lit(3)) == number)
+        table.write(quantiles.quantile_sketches(part, ["service"], "value"), f"part-{number}")
+    table.merge(date(2024, 1, 10))
+    rows = events.withColumn("start", F.col("timestamp")).where(QUANTILE_RANGE)
+    found = quantiles.exact_quantile(rows, ["service"], "value", 0.95, table.read().where(QUANTILE_RANGE))
+    return found.select("service", F.round("quantile", 6).alias("p95"))
+
+
 # --- generators ---------------------------------------------------------------------------------
 
 SEED_NOW = datetime(2024, 2, 1)
@@ -754,10 +773,10 @@ def stream_bucket_counts(spark, sf_dir):
         *[column.alias(name) for name, column in sample_tables.event_columns().items()]
     )
     counts = stream_buckets.running_counts(logs, "1h", "service")
-    path = scratch_path(spark, "counts")
-    stream_buckets.start_counts(counts, path, scratch_path(spark, "progress")).awaitTermination()
-    saved = spark.read.schema(stream_buckets.COUNTS_SCHEMA).parquet(path)
-    return stream_buckets.current_counts(saved)
+    table = stream_buckets.counts_table(spark, scratch_path(spark, "counts"))
+    progress = scratch_path(spark, "progress")
+    stream_buckets.start_counts(counts, table, progress, merge_every=3).awaitTermination()
+    return stream_buckets.current_counts(table.read())
 
 
 @query

@@ -2,23 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from datetime import date
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from cordwood.functions.times import BUCKETS
+from cordwood.sources.log_table import DayTable
 
 COUNTS_SCHEMA = T.StructType(
     [
         T.StructField("start", T.TimestampNTZType()),
         T.StructField("group", T.StringType()),
         T.StructField("count", T.LongType()),
-        T.StructField("batch", T.LongType()),
+        T.StructField("version", T.LongType()),
     ]
 )
 
 
+def _latest(rows: DataFrame) -> DataFrame:
+    latest = [F.max_by("count", "version").alias("count"), F.max("version").alias("version")]
+    return rows.groupBy("dt", "batch", "start", "group").agg(*latest)
+
+
+def counts_table(spark: SparkSession, path: str) -> DayTable:
+    """The log of changed counters: by day of their bucket and micro-batch.
+
+    Merged batches keep the latest value of each counter, so that a counter has a row for each
+    micro-batch since the last merge and one more, however long the stream has run.
+    """
+    return DayTable(spark, path, COUNTS_SCHEMA, "start", ("start", "group"), _latest)
+
+
 def running_counts(logs: DataFrame, bucket: str, group_by: str | None = None) -> DataFrame:
     """Counts per bucket and group over a stream of logs; for update or complete mode.
 
@@ -36,18 +53,24 @@ def running_counts(logs: DataFrame, bucket: str, group_by: str | None = None) ->
 
 
 def start_counts(
-    counts: DataFrame, path: str, checkpoint: str, processing_time: str | None = None
+    counts: DataFrame,
+    table: DayTable,
+    checkpoint: str,
+    name: str = "counts",
+    merge_every: int = 50,
+    processing_time: str | None = None,
 ) -> StreamingQuery:
-    """Write the counters each micro-batch changed; a repeated micro-batch replaces its own."""
+    """Write the counters each micro-batch changed; a repeated micro-batch replaces its own.
+
+    After every ``merge_every`` micro-batches their rows are folded; the last one is spared, as it
+    may come again.
+    """
 
     def save(changed: DataFrame, number: int) -> None:
-        (
-            changed.withColumn("batch", F.lit(number).cast("bigint"))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch")
-            .parquet(path)
-        )
+        batch = f"{name}-{number}"
+        table.write(changed.withColumn("version", F.lit(number).cast("bigint")), batch)
+        if number % merge_every == merge_every - 1:
+            table.merge(date.max, {batch})
 
     writer = (
         counts.writeStream.outputMode("update")
@@ -61,4 +84,4 @@ def start_counts(
 
 def current_counts(saved: DataFrame) -> DataFrame:
     """The latest value of every counter."""
-    return saved.groupBy("start", "group").agg(F.max_by("count", "batch").alias("count"))
+    return saved.groupBy("start", "group").agg(F.max_by("count", "version").alias("count"))
