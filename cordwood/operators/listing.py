@@ -141,12 +141,19 @@ def _newest_by_day(table: LogTable, query: ListingQuery, wanted: int) -> list[Ro
     found: list[Row] = []
     taken, span = 0, 1
     while taken < len(days) and len(found) < wanted:
-        part = table.scan_days(days[taken : taken + span])
+        part = _scanned(table, query, days[taken : taken + span])
         found += _collected(top_rows(part, query, wanted - len(found)))
         taken, span = taken + span, span * 2
     return found
 
 
+def _scanned(table: LogTable, query: ListingQuery, days: list[str]) -> DataFrame:
+    """Rows of some days; a search skips files whose signature says that they hold no match."""
+    if table.trigrams is None or not query.q:
+        return table.scan_days(days)
+    return table.trigrams.scan_days(days, query.q, query.search_mode)
+
+
 def walk(source: DataFrame | LogTable, query: ListingQuery) -> Iterator[Page]:
     """Follow cursors until there is none, one request per page."""
     while True:

@@ -485,6 +485,7 @@ ORACLE_SQL: dict[str, str] = {
     "list_q": _list_events("message ILIKE '%USER 1%'"),
     "list_q_wildcard": _list_events("message ILIKE '%u_er 1%value 2_.5%'"),
     "list_q_literal": _list("document_logs", "attr_lang", "contains(message, '%')", 1000),
+    "list_q_trigrams": _list("document_logs", "attr_lang", "message ILIKE '%the%of and%'", 1000),
     "list_q_documents": _list("document_logs", "attr_lang", "message ILIKE '%THE OF%'", 1000),
     "list_attr": _list_events("attr_k = '69'"),
     "list_attr_two": _list_events("attr_k = '69' AND attr_user_id = '8'"),

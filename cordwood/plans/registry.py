@@ -19,6 +19,7 @@ from cordwood.plans.params import BucketQuery, Cursor, ListingQuery
 from cordwood.session import configure, scratch_path
 from cordwood.sources import generators, readers, sample_tables
 from cordwood.sources.log_table import LogStore, LogTable, retained
+from cordwood.sources.trigrams import TrigramIndex
 from cordwood.streaming import buckets as stream_buckets
 from cordwood.streaming import slices
 from cordwood.streaming.dedup import start_dedup
@@ -123,6 +124,17 @@ def list_q_wildcard(spark, sf_dir):
     return _list_events(spark, sf_dir, {"q": "u_er 1%value 2_.5"})
 
 
+@query
+def list_q_trigrams(spark, sf_dir):
+    """A search over a stored table that opens only files whose trigrams allow a match."""
+    table = LogTable(spark, scratch_path(spark, "logs"))
+    table.load(sample_tables.document_logs(spark, sf_dir), "load")
+    index = TrigramIndex(spark, table)
+    index.cover(table.days())
+    asked = ListingQuery.parse({"q": "the%OF AND", "limit": "1000"})
+    return flat(listing.listing(index.scan_days(table.days(), asked.q), asked), "lang")
+
+
 @query
 def list_q_literal(spark, sf_dir):
     return _list_documents(spark, sf_dir, {"q": "%", "limit": "1000"}, "literal")

@@ -356,9 +356,10 @@ class DayTable:
 
 
 class LogTable(DayTable):
-    """The accepted logs."""
+    """The accepted logs. ``trigrams`` may be set to the ``TrigramIndex`` that searches shall use."""
 
     def __init__(self, spark: SparkSession, path: str):
+        self.trigrams = None
         super().__init__(spark, path, LOG_SCHEMA, "timestamp", ("timestamp", "id"))
 
     def load(self, df: DataFrame, batch: str, partitions: int | None = None) -> None:
