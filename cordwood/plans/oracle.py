@@ -488,6 +488,7 @@ ORACLE_SQL: dict[str, str] = {
     "list_q_trigrams": _list("document_logs", "attr_lang", "message ILIKE '%the%of and%'", 1000),
     "list_q_documents": _list("document_logs", "attr_lang", "message ILIKE '%THE OF%'", 1000),
     "list_attr": _list_events("attr_k = '69'"),
+    "list_attr_shredded": _list_events("attr_k = '69'"),
     "list_attr_two": _list_events("attr_k = '69' AND attr_user_id = '8'"),
     "list_attr_missing_empty": _list_events(),
     "list_combined": _list_events(
@@ -694,6 +695,27 @@ FROM (SELECT run_id, scenario, CAST(sum(accepted) AS BIGINT) AS accepted_records
     "quantile_range": """
 SELECT event_type AS service, round(quantile_cont(value, 0.95), 6) AS p95 FROM events
 WHERE ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts < TIMESTAMP '2024-01-20 12:00:00' GROUP BY 1
+""",
+    "probe_stream": _ctes(EVENT_LOGS, VISIBLE)
+    + """
+SELECT run_id, count(*) AS probes_total, count(*) FILTER (answered) AS probes_passed,
+       round(count(*) FILTER (answered) / count(*), 4) AS read_after_write_rate
+FROM (SELECT strftime(p.timestamp, 'run-%Y%m%d') AS run_id,
+             EXISTS (SELECT 1 FROM copies l
+                     WHERE l.service = 'signup' AND l.visible > 0 AND l.message = p.message
+                       AND l.timestamp + to_seconds(CAST(l.attr_user_id AS BIGINT) % 45)
+                           BETWEEN p.timestamp AND p.timestamp + INTERVAL 30 SECOND) AS answered
+      FROM copies p WHERE p.service = 'signup')
+GROUP BY 1
+""",
+    "distinct_ranges": """
+SELECT service, count(*) FILTER (a) AS in_first, count(*) FILTER (b) AS in_second, count(*) AS in_either,
+       count(*) FILTER (a AND b) AS in_both, count(*) FILTER (a AND NOT b) AS only_first, true AS within_bound
+FROM (SELECT event_type AS service, user_id,
+             bool_or(ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-14') AS a,
+             bool_or(ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-25') AS b
+      FROM events GROUP BY 1, 2)
+WHERE a OR b GROUP BY 1
 """,
     "merge_days": EVENT_ROWS,
     "merge_rollup": _count("5m", "level", ROLLUP_WHERE),

@@ -8,20 +8,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date, datetime, timedelta
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cordwood.functions.times import bucket_start
-from cordwood.operators import buckets, ingest, listing, loadtest, quantiles, reconcile
+from cordwood.operators import buckets, distinct, ingest, listing, loadtest, quantiles, reconcile
 from cordwood.operators.filters import time_bounds
 from cordwood.plans.params import BucketQuery, Cursor, ListingQuery
 from cordwood.session import configure, scratch_path
 from cordwood.sources import generators, readers, sample_tables
 from cordwood.sources.log_table import LogStore, LogTable, retained
+from cordwood.sources.shredded import ShreddedTable, frequent_keys
 from cordwood.sources.trigrams import TrigramIndex
 from cordwood.streaming import buckets as stream_buckets
-from cordwood.streaming import slices
+from cordwood.streaming import probes, slices
 from cordwood.streaming.dedup import start_dedup
 from cordwood.streaming.ingest import start_ingest
 
@@ -506,6 +509,79 @@ def read_after_write(spark, sf_dir):
     )
 
 
+@query
+def probe_stream(spark, sf_dir):
+    """Probes answered or given up after 30 seconds by a stream of logs that come with a delay."""
+    signups = sample_tables.event_logs(spark, sf_dir).where(F.col("service") == "signup")
+    delay = F.make_dt_interval(secs=(F.col("attributes")["user_id"].cast("long") % 45).cast("decimal(18,6)"))
+    visible = sample_tables.visible_logs(spark, sf_dir).where(F.col("service") == "signup")
+    sent = signups.select(
+        F.col("id").alias("probe_id"), sample_tables.run_of(F.col("timestamp")).alias("run_id"), "message",
+        F.col("timestamp").alias("sent_at"),
+    )
+    seen = visible.select("message", (F.col("timestamp") + delay).alias("seen_at"))
+    end = [("end", "end", "end", datetime(2030, 1, 1))]
+    folders = {}
+    for name, rows, time, last in (
+        ("sent", sent, "sent_at", spark.createDataFrame(end, sent.schema)),
+        ("seen", seen, "seen_at", spark.createDataFrame([row[2:] for row in end], seen.schema)),
+    ):
+        folders[name] = scratch_path(spark, name)
+        # Four spans of time, one after the other, and a row that ends the streams.
+        days = [datetime(1970, 1, 1), *(datetime(2024, 1, day) for day in (9, 17, 25)), datetime(2029, 1, 1)]
+        parts = [rows.where((F.col(time) >= F.lit(a)) & (F.col(time) < F.lit(b))) for a, b in zip(days, days[1:])]
+        for part in (*parts, last):
+            part.coalesce(1).write.mode("append").parquet(folders[name])
+    arriving = {
+        name: spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folders[name])
+        for name, rows in (("sent", sent), ("seen", seen))
+    }
+    table = probes.outcome_table(spark, scratch_path(spark, "outcomes"))
+    outcomes = probes.probe_outcomes(arriving["sent"], arriving["seen"], "30 seconds", "1 minute")
+    probes.start_outcomes(outcomes, table, scratch_path(spark, "progress")).awaitTermination()
+    rates = probes.answered_rates(table.read().where("run_id <> 'end'"))
+    return rates.select("run_id", "probes_total", "probes_passed", "read_after_write_rate")
+
+
+FIRST_DAYS = (datetime(2024, 1, 3), datetime(2024, 1, 14))
+SECOND_DAYS = (datetime(2024, 1, 10), datetime(2024, 1, 25))
+
+
+@query
+def distinct_ranges(spark, sf_dir):
+    """Distinct users of two overlapping ranges of days from stored sketches, beside the exact numbers."""
+    events = sample_tables.table(spark, sf_dir, "events").select(
+        F.col("ts").alias("timestamp"), F.col("event_type").alias("service"), "user_id"
+    )
+    table = distinct.distinct_table(spark, scratch_path(spark, "sketches"), ["service"])
+    for number in range(2):
+        part = events.where(F.pmod(F.xxhash64("timestamp"), F.lit(2)) == number)
+        table.write(distinct.distinct_sketches(part, ["service"], "user_id"), f"part-{number}")
+
+    def within(column: str, days: tuple[datetime, datetime]):
+        first, last = (F.lit(day).cast("timestamp_ntz") for day in days)
+        return (F.col(column) >= first) & (F.col(column) < last)
+
+    ranges = {column: [within(column, days) for days in (FIRST_DAYS, SECOND_DAYS)] for column in ("start", "timestamp")}
+    estimated = distinct.compared_ranges(table.read(), ["service"], *ranges["start"])
+    exact = distinct.exact_ranges(events, ["service"], "user_id", *ranges["timestamp"])
+    numbers = ["in_first", "in_second", "in_either", "in_both", "only_first"]
+    near = [F.abs(F.col(f"e.{name}") - F.col(f"x.{name}")) <= F.col("e.bound") for name in numbers]
+    return exact.alias("x").join(estimated.alias("e"), "service").select(
+        "service", *(f"x.{name}" for name in numbers), reduce(and_, near).alias("within_bound")
+    )
+
+
+@query
+def list_attr_shredded(spark, sf_dir):
+    """Rows with one value of an attribute that is frequent enough to be a column."""
+    logs = sample_tables.event_logs(spark, sf_dir)
+    table = ShreddedTable(spark, scratch_path(spark, "shredded"), frequent_keys(logs))
+    table.write(logs, "load")
+    asked = ListingQuery.parse({"attr.k": "69"})
+    return flat(listing.listing(table.scan({"k": "69"}), asked), "k", "user_id")
+
+
 # --- load tests ---------------------------------------------------------------------------------
 
 
