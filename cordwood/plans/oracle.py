@@ -696,6 +696,8 @@ FROM (SELECT run_id, scenario, CAST(sum(accepted) AS BIGINT) AS accepted_records
 SELECT event_type AS service, round(quantile_cont(value, 0.95), 6) AS p95 FROM events
 WHERE ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts < TIMESTAMP '2024-01-20 12:00:00' GROUP BY 1
 """,
+    "reconcile_digests": _ctes(EVENT_LOGS, VISIBLE)
+    + "SELECT id, 1::BIGINT AS expected, visible::BIGINT AS found FROM copies WHERE visible <> 1",
     "probe_stream": _ctes(EVENT_LOGS, VISIBLE)
     + """
 SELECT run_id, count(*) AS probes_total, count(*) FILTER (answered) AS probes_passed,

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cordwood.functions.times import bucket_start
-from cordwood.operators import buckets, distinct, ingest, listing, loadtest, quantiles, reconcile
+from cordwood.operators import buckets, digests, distinct, ingest, listing, loadtest, quantiles, reconcile
 from cordwood.operators.filters import time_bounds
 from cordwood.plans.params import BucketQuery, Cursor, ListingQuery
 from cordwood.session import configure, scratch_path
@@ -509,6 +509,18 @@ def read_after_write(spark, sf_dir):
     )
 
 
+@query
+def reconcile_digests(spark, sf_dir):
+    """Ids that were sent and are not there once, found from digests of both sides."""
+    sent, visible = sample_tables.event_logs(spark, sf_dir), sample_tables.visible_logs(spark, sf_dir)
+    sides = []
+    for name, logs in (("sent", sent), ("visible", visible)):
+        table = digests.digest_table(spark, scratch_path(spark, name))
+        table.write(digests.digests(logs), "all")
+        sides.append(table.read())
+    return digests.differences(sent, visible, digests.differing_leaves(*sides))
+
+
 @query
 def probe_stream(spark, sf_dir):
     """Probes answered or given up after 30 seconds by a stream of logs that come with a delay."""
@@ -821,13 +833,13 @@ def stream_slices_ingest(spark, sf_dir):
 
 
 def _merged_store(spark, sf_dir) -> LogStore:
-    """Events stored in eight micro-batches, all but the last merged."""
+    """Events stored in four micro-batches, all but the last merged."""
     store = LogStore(spark, scratch_path(spark, "store"))
-    for number in range(8):
-        rows = sample_tables.event_logs(spark, sf_dir).where(F.crc32(F.col("id").cast("binary")) % 8 == number)
+    for number in range(4):
+        rows = sample_tables.event_logs(spark, sf_dir).where(F.crc32(F.col("id").cast("binary")) % 4 == number)
         store.logs.append(rows, f"micro-{number}")
         store.rollup.write(buckets.minute_rollup(rows), f"micro-{number}")
-    store.merge(MERGE_BEFORE, {"micro-7"})
+    store.merge(MERGE_BEFORE, {"micro-3"})
     store.sweep(datetime.now() + timedelta(days=2))
     return store
 
