@@ -28,8 +28,8 @@ BLOCKS, WORDS, CAP = 2, 128, 0.40
 FILTERS, MISSED = 8.0, 0.002
 # Codes after which wider caps are tried, and the pairs that measure the odds.
 MAX_CODES, TRIALS = 48, 2000
-# Classes of equal vectors up to which vectors are broadcast to the candidate pairs.
-BROADCAST_VECTORS = 60_000
+# Bytes of all distinct vectors up to which they are broadcast to the candidate pairs.
+BROADCAST_BYTES, COMPONENT_BYTES = 16 << 20, 4
 
 
 def _code(dimension: int, code: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -138,15 +138,17 @@ def _verified(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = batch.column(2), batch.column(3)
-            size = len(left[0].values) if batch.num_rows else 0
-            if size * batch.num_rows == len(left.flatten()) == len(right.flatten()):
-                a = left.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, size)
-                b = right.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, size)
-                cosine = np.einsum("ij,ij->i", a, b) / np.sqrt(
-                    np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b)
+            sizes = np.diff(left.offsets.to_numpy())
+            sizes[sizes != np.diff(right.offsets.to_numpy())] = 0
+            cosine = np.full(batch.num_rows, -1.0)
+            for size in map(int, np.unique(sizes[sizes > 0])):
+                rows = np.flatnonzero(sizes == size)
+                a, b = (
+                    x.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, size)
+                    for x in (left, right)
                 )
-            else:
-                cosine = np.array([_cosine(x.values, y.values) for x, y in zip(left, right)])
+                norms = np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b))
+                cosine[rows] = np.einsum("ij,ij->i", a, b) / norms
             close = np.flatnonzero(cosine >= threshold)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(close)), batch.column(1).take(pa.array(close))], names=["u", "v"]
@@ -155,11 +157,6 @@ def _verified(threshold: float):
     return run
 
 
-def _cosine(left: pa.Array, right: pa.Array) -> float:
-    a, b = (x.to_numpy(zero_copy_only=False).astype(float) for x in (left, right))
-    return float(a @ b / np.sqrt((a @ a) * (b @ b))) if len(a) == len(b) else -1.0
-
-
 def near_duplicates(vectors: DataFrame, threshold: float = COSINE) -> DataFrame:
     """Link vectors of one label whose cosine is at least ``threshold``.
 
@@ -169,6 +166,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = COSINE) -> DataFrame:
     or NaN component link with nothing. Vectors of different length never link. Rows are told
     apart by label and vector, so repeated ids and missing ids are allowed; a missing id names no
     component and is not kept. Equal vectors are one class and link with each other.
+    An empty table gives no rows.
     """
     scratch = Scratch(vectors.sparkSession, "caps")
     rows = vectors.select("vec_id", "embedding", "label")
@@ -202,7 +200,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = COSINE) -> DataFrame:
         left.join(right, ["label", "filter"]).where("u < v").select("u", "v").distinct(), "pairs"
     )
     known = classes.select("node", "embedding")
-    few = classes.count() <= BROADCAST_VECTORS
+    components_in_all = classes.agg(F.sum(F.size("embedding"))).first()[0] or 0
+    few = components_in_all * COMPONENT_BYTES <= BROADCAST_BYTES
     of_u = known.select(F.col("node").alias("u"), F.col("embedding").alias("of_u"))
     of_v = known.select(F.col("node").alias("v"), F.col("embedding").alias("of_v"))
     with_both = (
