@@ -75,12 +75,19 @@ def schema_paths(kind: DataType, prefix: str = "") -> list[str]:
 
 
 def layout_of(df: DataFrame) -> Layout:
-    """The layout of a table by its schema."""
-    wanted = fingerprint([path for path in schema_paths(df.schema) if path in KNOWN])
-    for layout in LAYOUTS:
+    """The layout of a table by its schema: that of all its known fields, else the largest that fits.
+
+    So a column that is called like a field of another layout changes nothing.
+    """
+    there = schema_paths(df.schema)
+    wanted = fingerprint([path for path in there if path in KNOWN])
+    fitting = [layout for layout in LAYOUTS if set(layout.paths) <= set(there)]
+    for layout in fitting:
         if layout.fingerprint == wanted:
             return layout
-    raise ValueError("no layout has these fields: " + ", ".join(schema_paths(df.schema)))
+    if not fitting:
+        raise ValueError("no layout has these fields: " + ", ".join(there))
+    return max(fitting, key=lambda layout: len(layout.paths))
 
 
 def record_fingerprint(record: Column) -> Column:
@@ -165,6 +172,7 @@ def turns_of_rows(df: DataFrame) -> DataFrame:
 
     Turns of a conversation are in the order of their number (null first), then role, then text;
     rows without a conversation id are one conversation. Null roles and texts are empty.
+    An empty table gives no rows.
     """
     layout = layout_of(df)
     if not layout.rows:

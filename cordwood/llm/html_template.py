@@ -54,13 +54,24 @@ SIBLINGS = {
     "th": frozenset(("table", "tr")),
     "option": frozenset(("select", "datalist")),
 }
-NO_CONTENT_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|alerts?|sidebar|side|menu"
-    r"|nav(?:bar|igation)?|breadcrumbs?|foot(?:er)?|head(?:er)?|masthead|comments?|repl(?:y|ies)|discussion|disqus"
+_NAMES = (
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|alerts?|sidebar|menu"
+    r"|nav(?:bar|igation)?|breadcrumbs?|foot(?:er)?|masthead|comments?|repl(?:y|ies)|discussion|disqus"
     r"|social|shar(?:e|ing)|related|newsletter|subscribe|subscription|popup|modal|widget|login|signup|search"
-    r"|disclaimer|pagination|pager)(?:$|[\s_-])",
-    re.IGNORECASE,
+    r"|disclaimer|pagination|pager"
 )
+NO_CONTENT_NAME = re.compile(rf"(?:^|[\s_-])(?:{_NAMES}|side|head(?:er)?)(?:$|[\s_-])", re.IGNORECASE)
+# Inside an article a name rules an element out only if all its parts are such words or say nothing:
+# "related-links" does, "related-work" and "article-head" do not.
+_PLAIN = (
+    r"\d+|a|area|article|bar|block|body|bottom|box|buttons?|container|content|form|group|inner|items?|inline|left|lists?|links?"
+    r"|main|messages?|outer|page|panel|post|posts|reader|right|row|section|site|slot|small|text|the|thread|top|unit|user|wrap(?:per)?"
+)
+NO_CONTENT_INSIDE = re.compile(
+    rf"(?:(?:{_PLAIN})[_-])*(?:{_NAMES})(?:[_-](?:{_NAMES}|{_PLAIN}))*", re.IGNORECASE
+)
+# Elements that are text themselves: an id on them is an anchor.
+TEXT_ELEMENTS = frozenset("blockquote dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre td th".split())
 NO_CONTENT_ROLE = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog".split())
 
 _TOKEN = re.compile(
@@ -75,7 +86,7 @@ _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.IGNORECASE)
 
 
-def _no_content(name: str, rest: str) -> bool:
+def _no_content(name: str, rest: str, inside: bool) -> bool:
     if name in NO_CONTENT:
         return True
     if name in CONTENT or name in ("html", "body") or not rest.strip():
@@ -85,8 +96,11 @@ def _no_content(name: str, rest: str) -> bool:
     for key, *values in _ATTRIBUTE.findall(rest):
         value = unescape("".join(values))
         key = key.lower()
-        if key in ("class", "id") and NO_CONTENT_NAME.search(value):
+        if key in ("class", "id") and not inside and NO_CONTENT_NAME.search(value):
             return True
+        if key == "class" or (key == "id" and name not in TEXT_ELEMENTS):
+            if inside and any(map(NO_CONTENT_INSIDE.fullmatch, value.split())):
+                return True
         if key == "role" and value.lower() in NO_CONTENT_ROLE:
             return True
     return False
@@ -142,7 +156,7 @@ def tokens(html: str) -> Iterator[tuple[str, str, bool | str, bool]]:
             if depth is not None and (is_block or not any(entry[0] in BLOCKS for entry in stack[depth + 1 :])):
                 del stack[depth:]
             continue
-        out, own = _no_content(name, rest), ""
+        out, own = _no_content(name, rest, bool(stack) and stack[-1][1]), ""
         if is_block or out:
             yield from block()
         if is_block:
@@ -235,6 +249,7 @@ def main_texts(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     Returns a row per row of ``pages``: page_id, url, text, n_chars. Only page_id, url and html are
     read. A null or empty page has an empty text; pages without a host (null or odd url) are one
     host; a repeated page counts each time. Blocks are joined by line breaks in page order.
+    An empty table gives no rows.
     """
     scratch = Scratch(pages.sparkSession, "templates")
     hosted = pages.select(

@@ -246,3 +246,15 @@ def test_page_parts():
     )
     said = [value for kind, value, _, free in html_template.tokens(page) if kind == "text" and free]
     assert said == ["A & B", "one", "two italic next"]
+
+
+def test_names_inside_articles_rule_out_only_what_they_say():
+    page = (
+        "<body><div class='side-note'>outside</div><article><div class='article-head'><h1>T</h1></div>"
+        "<h2 id='related-work'>R</h2><p id='notice-1'>N</p><section class='search-results-study'><p>S</p></section>"
+        "<p class='side-note'>X</p><div class='comments'><p>c</p></div><div class='related-links'>l</div>"
+        "<div class='share-bar'>s</div><ul id='comments'><li>z</li></ul><div class='site-notice box'>q</div>"
+        "<div class='ad-slot'>a</div><aside>b</aside></article>"
+    )
+    said = [value for kind, value, _, free in html_template.tokens(page) if kind == "text" and free]
+    assert said == ["T", "R", "N", "S", "X"]
