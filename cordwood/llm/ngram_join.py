@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cordwood.llm.common import Scratch, maybe_broadcast
+from cordwood.llm.common import maybe_broadcast, put_back, Scratch, set_apart
 from cordwood.llm.components import components
 from cordwood.llm.shingles import set_fingerprint, shingle_sets
 
@@ -280,6 +280,7 @@ def jaccard_components(
 
     Components are exact, but links are not listed: pairs that are already in one component are not
     tested again, so neither all linked pairs nor links per document follow from this.
+    An empty table gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
@@ -417,6 +418,7 @@ def keep_one(docs: DataFrame, linked: DataFrame) -> DataFrame:
 
     What stays is the row with the smallest id, and of equal ids the one whose text hash is
     smallest; a row that repeats it goes. Documents without words link with nothing and all stay.
+    Other columns may have any name; an empty table stays empty.
     """
     member = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
     rows = linked.where("component is not null").groupBy("component", member.alias("member")).count()
@@ -426,7 +428,8 @@ def keep_one(docs: DataFrame, linked: DataFrame) -> DataFrame:
     kept = Scratch(docs.sparkSession, "keep-one").store(
         kept.unionByName(wordless.select("doc_id", "text_key", F.lit(0).cast("long").alias("copies"))), "kept"
     )
-    keyed = docs.withColumn("text_key", F.xxhash64("text"))
+    plain = set_apart(docs, "doc_id", "text")
+    keyed = plain.withColumn("text_key", F.xxhash64("text"))
 
     def named(which: DataFrame) -> DataFrame:
         which = maybe_broadcast(which, which.count())
@@ -435,4 +438,4 @@ def keep_one(docs: DataFrame, linked: DataFrame) -> DataFrame:
 
     single = named(kept.where("copies < 2"))
     repeated = named(kept.where("copies > 1")).dropDuplicates(["doc_id", "text_key"])
-    return single.unionByName(repeated).drop("text_key")
+    return put_back(single.unionByName(repeated), docs, "doc_id", "text")
