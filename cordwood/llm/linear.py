@@ -18,17 +18,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from cordwood.llm.common import Scratch, held_out
+from cordwood.llm.common import Scratch, held_out, tidy
 from cordwood.llm.shingles import text_bytes
 
 HASH_BITS = 20
 PIECE_BYTES = 1 << 18
-# Bytes that two pieces of one long text share, so that no n-gram is lost at the cut.
-OVERLAP_BYTES = 256
 
-# (bytes, where each text begins) -> pairs (text number, hashed n-gram), repeats allowed. The last
-# argument is a table that says which hashes matter, or None for all.
-Extractor = Callable[[np.ndarray, np.ndarray, np.ndarray | None], tuple[np.ndarray, np.ndarray]]
+
+@dataclass(frozen=True)
+class Extractor:
+    """How texts become features.
+
+    ``features`` takes bytes, where each text begins, and a table that says which hashes matter (None
+    for all); it gives pairs (text number, hashed n-gram), repeats allowed. ``pieces`` cuts a long
+    text into pieces of about so many bytes whose features together are those of the whole text.
+    """
+
+    features: Callable[[np.ndarray, np.ndarray, np.ndarray | None], tuple[np.ndarray, np.ndarray]]
+    pieces: Callable[[np.ndarray, int], Iterator[np.ndarray]]
 
 
 @dataclass(frozen=True)
@@ -66,15 +73,14 @@ def text_features(
         size = int(offsets[row + 1] - offsets[row])
         if size > PIECE_BYTES:
             found = np.zeros(0, np.int64)
-            for at in range(int(offsets[row]), int(offsets[row + 1]), PIECE_BYTES):
-                piece = data[max(int(offsets[row]), at - OVERLAP_BYTES) : min(at + PIECE_BYTES, int(offsets[row + 1]))]
-                found = np.union1d(found, extract(piece, np.zeros(1, np.int64), keep)[1])
+            for piece in extract.pieces(data[offsets[row] : offsets[row + 1]], PIECE_BYTES):
+                found = np.union1d(found, extract.features(piece, np.zeros(1, np.int64), keep)[1])
             yield found
             row += 1
             continue
         end = int(np.searchsorted(offsets, offsets[row] + PIECE_BYTES, side="right")) - 1
         end = max(row + 1, min(end, rows))
-        texts, hashed = extract(
+        texts, hashed = extract.features(
             data[offsets[row] : offsets[end]], offsets[row:end] - offsets[row], keep
         )
         both = np.unique((texts.astype(np.int64) << 32) | hashed)
@@ -307,4 +313,4 @@ def score(docs: DataFrame, model: Model, extract: Extractor) -> DataFrame:
             )
 
     schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

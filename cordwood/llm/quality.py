@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cordwood.llm.common import held_out
-from cordwood.llm.linear import HASH_BITS, Settings, fit, score
+from cordwood.llm.common import held_out, making_room
+from cordwood.llm.linear import HASH_BITS, Extractor, Settings, fit, score
 from cordwood.llm.shingles import _SEPARATOR, _words, mix
 
 THRESHOLD = 0.5
@@ -73,6 +75,33 @@ def word_ngrams(
     return texts, hashed
 
 
+def word_pieces(data: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """Pieces of whole words, each beginning ``REPEATS`` words before the end of the one before.
+
+    No feature needs more words than that and one more, so each lies in some piece; a piece grows
+    until it holds enough words to move on.
+    """
+    at = 0
+    while True:
+        end = at
+        while True:
+            end = min(end + size, len(data))
+            while end < len(data) and not _SEPARATOR[data[end - 1]]:
+                gap = np.flatnonzero(_SEPARATOR[data[end : end + size]])
+                end = end + int(gap[0]) + 1 if len(gap) else min(end + size, len(data))
+            inside = ~_SEPARATOR[data[at:end]]
+            starts = np.flatnonzero(inside & ~np.append(False, inside[:-1]))
+            if end == len(data) or len(starts) > REPEATS:
+                break
+        yield data[at:end]
+        if end == len(data):
+            return
+        at += int(starts[-REPEATS])
+
+
+WORDS = Extractor(word_ngrams, word_pieces)
+
+
 def judge_quality(
     docs: DataFrame,
     learnt_from: DataFrame,
@@ -84,12 +113,13 @@ def judge_quality(
 
     ``labels.quality`` of the documents ``learnt_from`` is learnt from at most
     ``settings.per_class`` rows of each class that are not held out; null labels and labels without
-    a document teach nothing. ``docs`` may have any columns but these two; only ``text`` is read.
-    Null and empty texts score alike; a repeated row is scored again.
+    a document teach nothing. Only ``text`` of ``docs`` is read; a column of it that is called score
+    or predicted comes back as ``<name>_before``. Null and empty texts score alike; a repeated row is
+    scored again; an empty table gives no rows.
     """
-    model = fit(learnt_from, labels, "quality", word_ngrams, settings)
+    model = fit(learnt_from, labels, "quality", WORDS, settings)
     judged = (F.col("score") >= threshold).cast("int").alias("predicted")
-    return score(docs, model, word_ngrams).select("*", judged)
+    return score(making_room(docs, "score", "predicted"), model, WORDS).select("*", judged)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
