@@ -1,8 +1,9 @@
 """Token ids as length-delimited binary records with masked checksums and a separate offset index.
 
 A record is: payload length (8 bytes, little-endian), masked CRC-32 of these 8 bytes (4), payload,
-masked CRC-32 of the payload (4). A payload is one byte (1 if the document has an id), the id
-(8 bytes), and the token ids as unsigned 16-bit integers, or 32-bit ones for larger vocabularies.
+masked CRC-32 of the payload (4). A payload is one byte (the bytes of a token id, 2 or 4 for larger
+vocabularies, plus 128 if the document has an id), the id (8 bytes), and the token ids as unsigned
+little-endian integers.
 The mask rotates the checksum and adds a constant, so that checksums over data that holds
 checksums stay sound. The index has a row per record and allows reads in any order.
 
@@ -17,7 +18,8 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import islice
 from unicodedata import is_normalized
 
 import numpy as np
@@ -27,18 +29,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cordwood.llm.byte_bpe import CACHED_LENGTH, Remembered
-from cordwood.llm.common import Scratch
+from cordwood.llm.common import Scratch, tidy
 
 FILE_BYTES = 64 << 20
 _MASK = 0xA282EAD8  # fixed value of the record format
-# Words that a task remembers, and units of words.
-CACHED_WORDS, CACHED_UNITS = 300_000, 300_000
-# Words looked at in one step.
-TOGETHER = 5_000
+_NAMED = 128
+# Words that a process remembers, twice over, and units of words.
+CACHED_WORDS, CACHED_UNITS = 200_000, 400_000
+CACHED_LENGTH = 64
+# Longer texts are taken in parts of so many words.
+LONG_TEXT, WORDS = 1 << 20, 100_000
 # Information separators: Python splits words at them, the tokeniser does not.
 _ODD = re.compile("[\x1c-\x1f]")
+_WORD = re.compile(r"\S+")
 _MARKS = ".,!?;:*%#$&|"
+# Latin letters, each of which is one letter in any form and case, and marks.
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,!?;:*%#$&|]*)")
+# Scripts of one or two bytes a letter, in which "letter" means the same to all libraries.
+_SIMPLE = "\u0530"
 
 INDEX = "part int, file string, place long, doc_id long, at long, n_tokens long"
 
@@ -65,105 +73,99 @@ def unframe(head: bytes, rest: bytes) -> bytes:
     return payload
 
 
-def _unit(word: str) -> str:
-    """The part of a word that is encoded by itself: without the marks that follow, in lower case.
+def _unit(word: str) -> tuple[str, str] | None:
+    """The letters of a word that make a piece by themselves and the marks behind them, if it is so.
 
-    Marks after a letter are a piece of their own and case is folded.
+    Marks after a letter are a piece of their own. A letter that changes when the tokeniser composes
+    or folds it into something else than one letter may join what follows: no unit then.
     """
+    if plain := _PLAIN.fullmatch(word):
+        return plain.groups()
     core = word if word.isalpha() else word.rstrip(_MARKS)
-    if core.isalpha():
-        folded = core.lower()
-        if core.isascii():
-            return folded
-        if folded.isalpha():
-            return core
-    return word
+    if core.isalpha() and max(core) < _SIMPLE and is_normalized("NFC", core) and core.lower().isalpha() and "\u03a3" not in core:
+        return core, word[len(core) :]
+    return None
 
 
-class _Words(dict):
-    """Words as they stand to their packed ids, put together from units and marks.
+def _byte_letters() -> dict[int, str]:
+    """Byte to the letter that stands for it in byte-level vocabularies: itself if it can be seen."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [byte for byte in range(256) if byte not in seen]
+    return {**{byte: chr(byte) for byte in seen}, **{byte: chr(256 + k) for k, byte in enumerate(hidden)}}
 
-    ``compute`` encodes a list of units. Words are forgotten when there are too many, units stay
-    longer.
-    """
-
-    def __init__(self, compute: Callable[[list[str]], list[bytes]], limit: int, units: int) -> None:
-        super().__init__()
-        self.compute = compute
-        self.limit = limit
-        self.units = Remembered(lambda unit: compute([unit])[0], units)
 
-    def _join(self, word: str, unit: str) -> bytes:
-        ids = self.units[unit]
-        return ids + self.units[word[len(unit) :]] if len(unit) < len(word) else ids
+class WordIds(dict):
+    """Ids of texts, word by word: word to its packed ids, worked out when first asked for.
 
-    def __missing__(self, word: str) -> bytes:
-        return self._join(word, _unit(word))
-
-    def learn(self, words: set[str]) -> None:
-        """Remember words not met before; their units are encoded together, which costs less."""
-        fresh = [word for word in words if len(word) <= CACHED_LENGTH]
-        if len(self) + len(fresh) > self.limit:
-            self.clear()
-        units = self.units
-        for at in range(0, len(fresh), TOGETHER):
-            part = fresh[at : at + TOGETHER]
-            parts = list(map(_unit, part))
-            new = [x for x in set(parts) if x not in units and x not in units.older and is_normalized("NFC", x)]
-            if new:
-                for unit, ids in zip(new, self.compute(new)):
-                    units.keep(unit, ids)
-            if len(self) < self.limit:
-                self.update(zip(part, map(self._join, part, parts)))
+    The tokeniser must drop white space, fold case, take letters and marks apart and know bytes by
+    their letters, as that of the word vocabulary does; then its ids for a text are those of its
+    words in turn. It is used in its default setting: special strings in a text are their tokens.
+    When full, the words become the older half; what is met again comes back from there.
+    """
 
+    def __init__(self, definition: str, width: str) -> None:
+        from tokenizers import Tokenizer
 
-_encoders: dict[str, tuple] = {}
+        super().__init__()
+        self.tokenizer = Tokenizer.from_str(definition)
+        self.tokenize = self.tokenizer.model.tokenize
+        self.width = width
+        self.code = "H" if width == "<u2" else "I"
+        self.letters = _byte_letters()
+        self.units: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.width).tobytes()
+
+    def _unit_ids(self, folded: str) -> bytes:
+        """Ids of a piece of letters in lower case, or of marks, without the steps that change nothing."""
+        shown = folded if folded.isascii() else folded.encode().decode("latin-1").translate(self.letters)
+        ids = [token.id for token in self.tokenize(shown)]
+        if len(self.units) >= CACHED_UNITS:
+            self.units.clear()
+        packed = self.units[folded] = struct.pack(f"<{len(ids)}{self.code}", *ids)
+        return packed
 
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            unit = _unit(word)
+            if unit is None:
+                ids = self.whole(word)
+            else:
+                core, marks = unit
+                core, known = core.lower(), self.units.get
+                ids = known(core) or self._unit_ids(core)
+                if marks:
+                    ids += known(marks) or self._unit_ids(marks)
+        if len(word) <= CACHED_LENGTH:
+            if len(self) >= CACHED_WORDS:
+                self.older = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        """Packed ids of a whole text."""
+        if _ODD.search(text):
+            return self.whole(text)
+        if len(text) <= LONG_TEXT:
+            return b"".join(map(self.__getitem__, text.split()))
+        # Not all words of a long text exist at once.
+        words = (match.group() for match in _WORD.finditer(text))
+        return b"".join(iter(lambda: b"".join(map(self.__getitem__, islice(words, WORDS))), b""))
 
-def word_encoder(definition: str, width: str):
-    """A function from a text to its packed ids.
 
-    The tokeniser must fold case, drop white space, and take letters and marks apart, as that of
-    the word vocabulary does; then its ids for a text are those of its words in turn.
-    """
-    from tokenizers import Tokenizer
+_of_process: dict[tuple[int, int, str], WordIds] = {}
 
-    key = f"{zlib.crc32(definition.encode())}-{len(definition)}-{width}"
-    if key not in _encoders:
-        tokenizer = Tokenizer.from_str(definition)
-        tokenizer.encode_special_tokens = True  # their strings in a text are plain text
-
-        def whole(text: str) -> bytes:
-            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype=width).tobytes()
-
-        def each(units: list[str]) -> list[bytes]:
-            if len(units) == 1:
-                return [whole(units[0])]
-            found = tokenizer.encode(" ".join(units), add_special_tokens=False)
-            packed = np.array(found.ids, dtype=width)
-            # A unit's ids are those that begin in it.
-            begins = np.fromiter((begin for begin, _ in found.offsets), np.int64, len(packed))
-            ends = np.cumsum([len(unit) + 1 for unit in units])
-            cuts = [0, *np.searchsorted(begins, ends).tolist()]
-            return [packed[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
-
-        _encoders[key] = (_Words(each, CACHED_WORDS, CACHED_UNITS), whole)
-    remembered, whole = _encoders[key]
-    known = remembered.get
-
-    def encode(text: str) -> bytes:
-        if _ODD.search(text):
-            return whole(text)
-        words = text.split()
-        found = list(map(known, words))
-        unknown = [at for at, ids in enumerate(found) if ids is None]
-        if unknown:
-            remembered.learn({words[at] for at in unknown})
-            for at in unknown:
-                found[at] = remembered[words[at]]
-        return b"".join(found)
 
-    return encode
+def word_ids(definition: str, width: str) -> WordIds:
+    """The word ids of this process for a tokeniser, which last from task to task."""
+    key = (zlib.crc32(definition.encode()), len(definition), width)
+    if key not in _of_process:
+        _of_process[key] = WordIds(definition, width)
+    return _of_process[key]
 
 
 def _open(folder: str) -> tuple[arrow_fs.FileSystem, str]:
@@ -173,7 +175,7 @@ def _open(folder: str) -> tuple[arrow_fs.FileSystem, str]:
 def _write(definition: str, folder: str, end_id: int, width: str, file_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = word_encoder(definition, width)
+        words = word_ids(definition, width)
         end = np.array([end_id], dtype=width).tobytes()
         part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
         store, root = _open(folder)
@@ -189,8 +191,9 @@ def _write(definition: str, folder: str, end_id: int, width: str, file_bytes: in
                             out.close()
                         name = f"part-{part:06d}-{files:06d}-{attempt}.rec"
                         out, at, files = store.open_output_stream(f"{root}/{name}"), 0, files + 1
-                    ids = encode(text.as_py() or "") + end
-                    record = frame(struct.pack("<?q", doc_id is not None, doc_id or 0) + ids)
+                    ids = words.encode(text.as_py() or "") + end
+                    head = size if doc_id is None else size | _NAMED
+                    record = frame(struct.pack("<Bq", head, doc_id or 0) + ids)
                     out.write(record)
                     rows.append((part, name, place, doc_id, at, len(ids) // size))
                     at, place = at + len(record), place + 1
@@ -202,7 +205,7 @@ def _write(definition: str, folder: str, end_id: int, width: str, file_bytes: in
             if out is not None:
                 out.close()
 
-    return run
+    return tidy(run)
 
 
 def write_records(
@@ -214,6 +217,7 @@ def write_records(
     Only doc_id and text are read; null and empty texts have the end id alone. Returns the index,
     which the caller stores: part (files of a lower part come before those of a higher one), file,
     place in the part, doc_id, at (byte offset), n_tokens.
+    An empty table gives no rows.
     """
     with open(tokenizer_path, encoding="utf-8") as lines:
         definition = lines.read()
@@ -233,7 +237,7 @@ def write_records(
     )
 
 
-def read_records(index: DataFrame, folder: str, width: str = "<u2") -> DataFrame:
+def read_records(index: DataFrame, folder: str) -> DataFrame:
     """Read the records that the index names, check them, and digest their ids.
 
     Returns part, file, place, doc_id, n_tokens, ids_crc32 (of the ids as little-endian unsigned
@@ -253,9 +257,9 @@ def read_records(index: DataFrame, folder: str, width: str = "<u2") -> DataFrame
                 head = source.read_at(12, at)
                 size = struct.unpack("<Q", head[:8])[0]
                 payload = unframe(head, source.read_at(size + 4, at + 12))
-                named, doc_id = struct.unpack("<?q", payload[:9])
-                ids = np.frombuffer(payload, dtype=width, offset=9)
-                found.append((part, file, place, doc_id if named else None, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                kind, doc_id = struct.unpack("<Bq", payload[:9])
+                ids = np.frombuffer(payload, dtype=f"<u{kind & ~_NAMED}", offset=9)
+                found.append((part, file, place, doc_id if kind & _NAMED else None, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
             if found:
                 kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays(
@@ -282,6 +286,7 @@ def token_positions(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFr
     folder = scratch.path("files")
     index = scratch.store(write_records(docs, tokenizer_path, end_id, folder), "index")
     read = scratch.store(read_records(index, folder), "read")
+    scratch.drop("files", "index")
     # A row per file: one per FILE_BYTES of ids.
     before = read.groupBy("part", "file").agg(F.sum("n_tokens").alias("size")).selectExpr(
         "file", "sum(size) OVER (ORDER BY part, file) - size AS before"
