@@ -205,3 +205,24 @@ def test_merging_goes_on_beside_a_stream(spark, tmp_path):
     batches = {r["batch"] for r in store.receipts.read().select("batch").distinct().collect()}
     days = store.logs.days()
     assert all(len(store.logs.visible(day)) <= 4 for day in days) and len(batches) <= 5
+
+
+def test_slices_of_small_requests_are_nearly_full(spark):
+    rows = [(f"r{i}", json.dumps({"logs": [{}] * 3}), NOW, "0") for i in range(60)]
+    envelopes = spark.createDataFrame(rows, "request_id string, body string, received_at timestamp_ntz, lane string")
+    cut = slices.sliced(envelopes, 20).groupBy("slice").agg(F.sum("entries").alias("entries")).collect()
+    held = sorted(row["entries"] for row in cut)
+    assert sum(held) == 180 and held[-1] <= 20
+    # Cut at half the bound they would be eighteen.
+    assert len(held) <= 10
+
+
+def test_a_slice_is_validated_by_several_tasks(spark, tmp_path):
+    put(tmp_path / "in", "a.json", range(40))
+    slices.write_slices(readers.read_envelopes(spark, str(tmp_path / "in")), str(tmp_path / "slices"), "0")
+    tasks = []
+    writer = slices.stream_slices(spark, str(tmp_path / "slices")).writeStream.foreachBatch(
+        lambda rows, number: tasks.append(rows.rdd.getNumPartitions())
+    )
+    writer.option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start().awaitTermination()
+    assert len(tasks) == 1 and tasks[0] > 1
