@@ -25,7 +25,7 @@ SCALE = 1_000_000_000
 MIN_DOCUMENTS = 3
 RANKS = 200
 # Terms a task counts before it hands them on, and bytes of a text split at once.
-TABLE_TERMS, PIECE_BYTES = 200_000, 1 << 20
+TABLE_TERMS, PIECE_BYTES = 400_000, 1 << 20
 
 # Letters A to Z in lower case, all other ASCII characters as separators.
 _TERM_BYTES = bytes(
@@ -76,11 +76,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, (lang, source) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
             counts, documents = tables.setdefault((lang, source), (Counter(), Counter()))
             before = len(counts)
-            found = Counter()
+            found: set[bytes] = set()
             for terms in _term_pieces(whole[offsets[row] : offsets[row + 1]]):
+                counts.update(terms)
                 found.update(terms)
-            counts.update(found)
-            documents.update(found.keys())
+            documents.update(found)
             held += len(counts) - before
             if held >= TABLE_TERMS:
                 yield from flush()
@@ -92,11 +92,13 @@ def term_counts(docs: DataFrame) -> DataFrame:
     """``(lang, source, term, n, documents)``: occurrences of each term and the documents it is in.
 
     Null texts, languages and sources read as ''. Terms are runs of ASCII letters, A to Z in lower
-    case, and of all characters beyond ASCII.
+    case, and of all characters beyond ASCII. Rows are dealt out by language and term: what tasks
+    counted already hardly merges before the shuffle, and totals per term need no other one.
     """
     said = docs.select(*(F.coalesce(F.col(name), F.lit("")).alias(name) for name in ("lang", "source", "text")))
     partial = said.mapInArrow(_count, "lang string, source string, term string, n long, documents long")
-    return partial.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents"))
+    dealt = partial.repartition("lang", "term")
+    return dealt.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents"))
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:
@@ -127,19 +129,14 @@ def _sizes(docs: DataFrame, kept: DataFrame) -> DataFrame:
 def kept_terms(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """``(lang, source, term, n, total)`` of terms in enough documents of their language.
 
-    ``n`` counts occurrences in the group, ``total`` in the language. A term of the whole language
-    is counted before it meets its groups, so a frequent one makes no large group.
+    ``n`` counts occurrences in the group, ``total`` in the language. The window holds a row per
+    source that has the term, counted before, so a frequent one makes no large group.
     """
     scratch = Scratch(docs.sparkSession, "divergence")
-    counts = scratch.store(term_counts(docs), "counts")
-    totals = (
-        counts.groupBy("lang", "term")
-        .agg(F.sum("n").alias("total"), F.sum("documents").alias("documents"))
-        .where(F.col("documents") >= min_documents)
-    )
-    kept = scratch.store(counts.join(totals, ["lang", "term"]).select("lang", "source", "term", "n", "total"), "kept")
-    scratch.drop("counts")
-    return kept
+    of_lang = Window.partitionBy("lang", "term")
+    totals = (F.sum("n").over(of_lang).alias("total"), F.sum("documents").over(of_lang).alias("in_documents"))
+    counts = term_counts(docs).select("lang", "source", "term", "n", *totals)
+    return scratch.store(counts.where(F.col("in_documents") >= min_documents).drop("in_documents"), "kept")
 
 
 def leading_terms(kept: DataFrame, sizes: DataFrame, ranks: int = RANKS) -> DataFrame:

@@ -162,3 +162,19 @@ def test_divergence(spark, monkeypatch, ranks, terms_at_once):
     assert found.schema["value"].dataType.simpleString() == "bigint" and found.schema["rank"].dataType.simpleString() == "int"
     assert {tuple(row) for row in found.collect()} == plain_divergence(rows, ranks)
     assert divergence.source_divergence(docs.limit(0)).count() == 0
+
+
+def test_terms_and_their_totals_take_one_shuffle(spark, monkeypatch):
+    stored = {}
+
+    def store(self, df, name):
+        stored[name] = df
+        return df
+
+    monkeypatch.setattr(divergence.Scratch, "store", store)
+    rows = [("one two", "en", "s1"), ("one two", "en", "s2"), ("one", "en", "s2"), ("two", "de", "s1")]
+    docs = spark.createDataFrame(rows, "text string, lang string, source string")
+    kept = divergence.kept_terms(docs)
+    assert {tuple(row) for row in kept.collect()} == {("en", "s1", "one", 1, 3), ("en", "s2", "one", 2, 3)}
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert list(stored) == ["kept"] and plan.split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
