@@ -20,6 +20,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from itertools import islice
+from operator import attrgetter
 from unicodedata import is_normalized
 
 import numpy as np
@@ -42,6 +43,7 @@ LONG_TEXT, WORDS = 1 << 20, 100_000
 # Information separators: Python splits words at them, the tokeniser does not.
 _ODD = re.compile("[\x1c-\x1f]")
 _WORD = re.compile(r"\S+")
+_ID = attrgetter("id")
 _MARKS = ".,!?;:*%#$&|"
 # Latin letters, each of which is one letter in any form and case, and marks.
 _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,!?;:*%#$&|]*)")
@@ -94,6 +96,18 @@ def _byte_letters() -> dict[int, str]:
     return {**{byte: chr(byte) for byte in seen}, **{byte: chr(256 + k) for k, byte in enumerate(hidden)}}
 
 
+class _Packers(dict):
+    """Number of ids to what packs so many."""
+
+    def __init__(self, code: str) -> None:
+        super().__init__()
+        self.code = code
+
+    def __missing__(self, count: int):
+        packer = self[count] = struct.Struct(f"<{count}{self.code}").pack
+        return packer
+
+
 class WordIds(dict):
     """Ids of texts, word by word: word to its packed ids, worked out when first asked for.
 
@@ -110,7 +124,7 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenize = self.tokenizer.model.tokenize
         self.width = width
-        self.code = "H" if width == "<u2" else "I"
+        self.packers = _Packers("H" if width == "<u2" else "I")
         self.letters = _byte_letters()
         self.units: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -121,20 +135,26 @@ class WordIds(dict):
     def _unit_ids(self, folded: str) -> bytes:
         """Ids of a piece of letters in lower case, or of marks, without the steps that change nothing."""
         shown = folded if folded.isascii() else folded.encode().decode("latin-1").translate(self.letters)
-        ids = [token.id for token in self.tokenize(shown)]
+        ids = list(map(_ID, self.tokenize(shown)))
         if len(self.units) >= CACHED_UNITS:
             self.units.clear()
-        packed = self.units[folded] = struct.pack(f"<{len(ids)}{self.code}", *ids)
+        packed = self.units[folded] = self.packers[len(ids)](*ids)
         return packed
 
     def __missing__(self, word: str) -> bytes:
         ids = self.older.get(word)
         if ids is None:
-            unit = _unit(word)
-            if unit is None:
+            # Most words are ASCII letters and marks, which need no pattern to be told apart.
+            core = word.rstrip(_MARKS)
+            if core.isascii() and core.isalpha():
+                marks = word[len(core) :]
+            elif unit := _unit(word):
+                core, marks = unit
+            else:
+                core = None
+            if core is None:
                 ids = self.whole(word)
             else:
-                core, marks = unit
                 core, known = core.lower(), self.units.get
                 ids = known(core) or self._unit_ids(core)
                 if marks:
