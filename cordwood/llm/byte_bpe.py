@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from cordwood.llm.common import making_room, tidy
+from cordwood.llm.common import bounded, making_room, tidy
 
 # Pre-tokens a task remembers, and the longest one it remembers.
 CACHED_TOKENS = 150_000
@@ -248,7 +248,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
         encode = encoder(shared.value)
         try:
             for batch in batches:
-                for part in _bounded(batch):
+                for part in bounded(batch):
                     ids = [encode(text.as_py() or "") for text in part.column(place)]
                     ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
                     values = np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int32)
@@ -263,11 +263,6 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
     return docs.mapInArrow(tidy(run), schema)
 
 
-def _bounded(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
-
-
 def round_trips(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of every row, encoded and decoded at once.
 

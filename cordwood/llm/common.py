@@ -78,6 +78,12 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     return tidied
 
 
+def bounded(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of so many rows, so that what is made of it stays small on both sides."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 class Scratch:
     """Tables of one operator run in the shared folder; ``drop`` deletes those no longer needed."""
 

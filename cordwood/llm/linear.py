@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from cordwood.llm.common import Scratch, held_out, tidy
+from cordwood.llm.common import Scratch, bounded, held_out, tidy
 from cordwood.llm.shingles import text_bytes
 
 HASH_BITS = 20
-PIECE_BYTES = 1 << 18
+PIECE_BYTES = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -148,7 +148,7 @@ def _counting(extract: Extractor):
             names=["feature", "ones", "zeros"],
         )
 
-    return run
+    return tidy(run)
 
 
 def _restricted(extract: Extractor, features: np.ndarray):
@@ -164,7 +164,7 @@ def _restricted(extract: Extractor, features: np.ndarray):
                 names=["label", "found"],
             )
 
-    return run
+    return tidy(run)
 
 
 def dual_coordinate_descent(
@@ -302,15 +302,16 @@ def score(docs: DataFrame, model: Model, extract: Extractor) -> DataFrame:
         weights = np.zeros(1 << HASH_BITS)
         weights[model.features] = model.weights
         for batch in batches:
-            margins = np.fromiter(
-                (weights[x].sum() for x in text_features(batch.column(place), extract, keep)),
-                float,
-                batch.num_rows,
-            )
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(model.scores(margins + model.bias))],
-                names=[*columns, "score"],
-            )
+            for part in bounded(batch):
+                margins = np.fromiter(
+                    (weights[x].sum() for x in text_features(part.column(place), extract, keep)),
+                    float,
+                    part.num_rows,
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(model.scores(margins + model.bias))],
+                    names=[*columns, "score"],
+                )
 
     schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
     return docs.mapInArrow(tidy(run), schema)

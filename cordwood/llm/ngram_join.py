@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cordwood.llm.common import maybe_broadcast, put_back, Scratch, set_apart
+from cordwood.llm.common import bounded, maybe_broadcast, put_back, Scratch, set_apart, tidy
 from cordwood.llm.components import components
 from cordwood.llm.shingles import set_fingerprint, shingle_sets
 
@@ -61,7 +61,7 @@ def _describe(words: int, share: float):
                 names=["doc_id", "text_key", "n_shingles", "n_first", "node"],
             )
 
-    return run
+    return tidy(run)
 
 
 def _rows(keys: np.ndarray, nodes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
@@ -106,7 +106,7 @@ def _sightings(words: int, share: float):
             known, counts = np.unique(nodes[~single], return_counts=True)
             yield _rows(-1 - (known & ((1 << 48) - 1)), known, counts.astype(np.int32))
 
-    return run
+    return tidy(run)
 
 
 def _shared_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,9 +145,9 @@ def _shared_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _whole_sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in (part for batch in batches for part in bounded(batch)):
             nodes, sets = [], []
-            for hashes in shingle_sets(batch.column(0), words):
+            for hashes in shingle_sets(part.column(0), words):
                 if len(hashes):
                     nodes.append(set_fingerprint(hashes))
                     sets.append(_as_signed(hashes))
@@ -161,7 +161,7 @@ def _whole_sets(words: int):
                 names=["node", "grams"],
             )
 
-    return run
+    return tidy(run)
 
 
 def _may_differ(size: Column, threshold: int) -> Column:
@@ -304,7 +304,7 @@ def jaccard_components(
     seen = (
         sightings.repartition("key")
         .sortWithinPartitions("key")
-        .mapInArrow(_shared_counts, "node long, n_seen long")
+        .mapInArrow(tidy(_shared_counts), "node long, n_seen long")
         .groupBy("node")
         .agg(F.sum("n_seen").alias("n_seen"))
     )

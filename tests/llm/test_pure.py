@@ -24,6 +24,7 @@ from cordwood.llm import (
     divergence,
     html_template,
     linear,
+    ngram_join,
     prefix_counts,
     quality,
     records,
@@ -258,3 +259,25 @@ def test_names_inside_articles_rule_out_only_what_they_say():
     )
     said = [value for kind, value, _, free in html_template.tokens(page) if kind == "text" and free]
     assert said == ["T", "R", "N", "S", "X"]
+
+
+def test_sets_of_near_copies_leave_in_small_batches():
+    texts = pa.array([f"a b c d e {i}" for i in range(1200)], pa.string())
+    found = list(ngram_join._whole_sets(4)(iter([pa.RecordBatch.from_arrays([texts], names=["text"])])))
+    assert sum(batch.num_rows for batch in found) == 1200
+    assert max(batch.num_rows for batch in found) <= 500
+    for run in (ngram_join._describe(4, 0.25), ngram_join._sightings(4, 0.25), ngram_join._whole_sets(4)):
+        assert run.__name__ == "tidied"  # hands freed memory back
+
+
+def test_ascii_words_need_no_pattern(monkeypatch):
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as lines:
+        words = records.WordIds(lines.read(), "<u2")
+    text = "The quick, BROWN fox!! jumps; over... lazy? dogs"
+    expected = words.whole(text)
+
+    def refused(word):
+        raise AssertionError(word)
+
+    monkeypatch.setattr(records, "_unit", refused)
+    assert words.encode(text) == expected
