@@ -65,6 +65,50 @@ def test_byte_bpe_is_that_of_the_library(tokenizer):
         assert decode(ids).decode() == text
 
 
+@pytest.mark.parametrize(
+    "bounds",
+    [{}, {"LONG_TEXT": 40, "TOGETHER": 90, "CELLS": 20}, {"TOGETHER": 60, "CACHED_TOKENS": 9, "CACHED_LENGTH": 2, "WIDTHS": (2, 5)}],
+)
+def test_texts_encoded_together_are_those_of_the_library(monkeypatch, tokenizer, bounds):
+    for name, value in bounds.items():
+        monkeypatch.setattr(byte_bpe, name, value)
+    library = tiktoken.Encoding(
+        "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={}
+    )
+    texts = ["", "x" * 300, *odd_texts(700), "", "\u4e2d" * 70 + " a", "ofanerhand " * 9, *odd_texts(30)]
+    found = list(byte_bpe.Encoder(tokenizer).encode_all(iter(texts)))
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in found] == [library.encode_ordinary(text) for text in texts]
+
+
+def test_pieces_merged_side_by_side_are_those_of_the_heap():
+    draw = random.Random(6)
+    for _ in range(40):  # ranks in no order that training could give
+        tokens = {"".join(draw.choice("abc") for _ in range(draw.randint(2, 6))).encode() for _ in range(60)}
+        ranks = [*map(bytes, zip(range(256))), *tokens]
+        draw.shuffle(ranks)
+        own = byte_bpe.Tokenizer({token: rank for rank, token in enumerate(ranks)}, public_tokenizers.PATTERN)
+        pieces = ["".join(draw.choice("abcd") for _ in range(draw.randint(1, 24))).encode() for _ in range(80)]
+        ids, counts = own.merge_side_by_side(pieces, 24)
+        parts = np.split(ids, np.cumsum(counts)[:-1])
+        assert [part.tolist() for part in parts] == [own.merge(piece) for piece in pieces]
+
+
+def test_only_long_pieces_are_merged_one_at_a_time(monkeypatch, tokenizer):
+    alone, merge = [], tokenizer.merge
+    monkeypatch.setattr(tokenizer, "merge", lambda piece: alone.append(piece) or merge(piece))
+    encode = byte_bpe.encoder(tokenizer)
+    for text in odd_texts(300):
+        encode(text + " " + "qz" * 40)
+    assert alone and min(map(len, alone)) > byte_bpe.WIDTHS[-1]
+
+
+def test_a_byte_without_a_token_is_an_error():
+    own = byte_bpe.Tokenizer({b"a": 0, b"bc": 1, b"abc": 2}, public_tokenizers.PATTERN)
+    assert np.frombuffer(byte_bpe.encoder(own)("abcbca"), "<u4").tolist() == [2, 1, 0]
+    with pytest.raises(ValueError):
+        byte_bpe.encoder(own)("ab")
+
+
 @pytest.mark.parametrize("bounds", [{}, {"LONG_TEXT": 20, "WORDS": 3, "CACHED_WORDS": 50, "CACHED_UNITS": 20}])
 def test_word_ids_are_those_of_the_library(monkeypatch, bounds):
     for name, value in bounds.items():
