@@ -226,3 +226,104 @@ def test_a_slice_is_validated_by_several_tasks(spark, tmp_path):
     )
     writer.option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start().awaitTermination()
     assert len(tasks) == 1 and tasks[0] > 1
+
+
+def test_slices_follow_the_times_of_their_entries(spark):
+    # Ids are no help: requests of four days come in turns, each with one entry that is far off.
+    rows = []
+    for i in range(80):
+        times = [(NOW + timedelta(days=i % 4, minutes=i)).isoformat() + "Z"] * 4 + ["1970-01-01T00:00:00Z"]
+        rows.append((f"r{i}", json.dumps({"logs": [{"timestamp": time} for time in times]}), NOW, "0", i % 4))
+    envelopes = spark.createDataFrame(
+        rows, "request_id string, body string, received_at timestamp_ntz, lane string, day int"
+    )
+    cut = slices.sliced(envelopes, 50)
+    held = cut.groupBy("slice").agg(F.sum("entries").alias("entries"), F.countDistinct("day").alias("days")).collect()
+    assert sum(row["entries"] for row in held) == 400 and max(row["entries"] for row in held) <= 50
+    # 46 of 50 are used, so nine slices; a cut between two days makes one slice of two days.
+    assert len(held) == 9 and sum(row["days"] for row in held) <= 9 + 3
+    assert cut.columns == [*envelopes.columns, "entries", "slice"]
+
+
+def test_hours_of_a_lane_are_cut_as_one_run(spark):
+    def body(hour, size):
+        entry = {"timestamp": (NOW + timedelta(hours=hour)).isoformat() + "Z"}
+        return json.dumps({"logs": [entry] * size})
+
+    rows = [(f"r{i}", body(i, 3), NOW, lane) for i in range(60) for lane in ("0", "1", None)]
+    rows += [(None, body(7, 15), NOW, "0"), (None, None, None, "1")] + [("same", body(9, 2), NOW, "1")] * 3
+    rows.append(("odd", '{"logs":[{"timestamp":{"a":1}},{"timestamp":["x"]}]}', NOW, "0"))
+    envelopes = spark.createDataFrame(rows, "request_id string, body string, received_at timestamp_ntz, lane string")
+    cut = slices.sliced(envelopes, 20)
+    held = [row["entries"] for row in cut.groupBy("slice").agg(F.sum("entries").alias("entries")).collect()]
+    assert cut.count() == len(rows) and max(held) <= 20
+    assert sum(held) == 3 * 180 + 15 + 1 + 6 + 2
+    # Nearly full however many hours they span: by hours they would be about 180.
+    assert len(held) <= 33
+
+
+def bounded_run(spark, tmp_path, store):
+    taken = slices.stream_slices(spark, str(tmp_path / "slices"))
+    stream_ingest.start_ingest(taken, store, str(tmp_path / "progress"), bounded=True).awaitTermination()
+
+
+def test_a_bounded_stream_stores_what_a_batch_does(spark, tmp_path):
+    put(tmp_path / "in", "a.json", range(12))
+    with open(tmp_path / "in" / "a.json", "a") as file:
+        file.write("\nnot json")
+    arrived = readers.read_envelopes(spark, str(tmp_path / "in"))
+    slices.write_slices(arrived, str(tmp_path / "slices"), "0", max_entries=20)
+    store, plain = LogStore(spark, str(tmp_path / "store")), LogStore(spark, str(tmp_path / "plain"))
+    before = {key: spark.conf.get(key, None) for key in stream_ingest._bounded_conf(spark, str(tmp_path))}
+    bounded_run(spark, tmp_path, store)
+    assert {key: spark.conf.get(key, None) for key in before} == before
+    stream_ingest.write_batch(arrived, plain, "all")
+
+    def rows(table):
+        return sorted(map(str, table.read().drop("batch").collect()))
+
+    for name in ("logs", "rejects", "receipts"):
+        assert rows(getattr(store, name)) == rows(getattr(plain, name)), name
+    counted = "start", "service", "level"
+    assert rows_of_counts(store.rollup.read(), counted) == rows_of_counts(plain.rollup.read(), counted)
+    assert store.receipts.read().select("batch").distinct().count() > 1
+    # One file for each day and batch.
+    assert all(
+        len(list(folder.glob("part-*.parquet"))) == 1 for folder in (tmp_path / "store" / "logs").glob("dt=*/batch=*")
+    )
+    assert not list((tmp_path / "store" / "_drafts").iterdir())
+
+
+def rows_of_counts(rollup, keys):
+    return sorted(map(str, rollup.groupBy(*keys).agg(F.sum("count")).collect()))
+
+
+def test_a_bounded_batch_that_fails_midway_is_repaired_by_its_replay(spark, tmp_path, monkeypatch):
+    store = LogStore(spark, str(tmp_path / "store"))
+    put(tmp_path / "in", "a.json", range(3))
+    slices.write_slices(readers.read_envelopes(spark, str(tmp_path / "in")), str(tmp_path / "slices"), "0")
+
+    def fails(*_):
+        raise RuntimeError("lost")
+
+    # Logs that cannot be written leave no receipts.
+    monkeypatch.setattr(store.logs, "append", fails)
+    with pytest.raises(Exception):
+        bounded_run(spark, tmp_path, store)
+    assert not store.logs.exists() and not store.receipts.days()
+    monkeypatch.undo()
+    monkeypatch.setattr(store, "show_side", fails)
+    with pytest.raises(Exception):
+        bounded_run(spark, tmp_path, store)
+    assert store.logs.read().count() == 12 and not store.receipts.days()
+    monkeypatch.undo()
+    # Half of the small tables shown.
+    finish = store._finish_side
+    monkeypatch.setattr(store, "_finish_side", fails)
+    with pytest.raises(Exception):
+        bounded_run(spark, tmp_path, store)
+    monkeypatch.setattr(store, "_finish_side", finish)
+    bounded_run(spark, tmp_path, store)
+    assert store.logs.read().count() == 12
+    assert store.rollup.read().agg(F.sum("count")).first()[0] == 12
+    assert store.receipts.read().count() == 3 and store.rejects.read().count() == 3
